@@ -39,7 +39,9 @@ SLICE = 1 << 20
 #: Positions looked at together.
 CHUNK = 1 << 20
 SHALLOW = 24
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 1 << 20
+#: Contexts whose windows are sorted together; groups are never split.
+SORTED_CONTEXTS = 4096
 NO_DOC = 2**63 - 1
 MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -338,15 +340,26 @@ def _send_contexts(buckets: int, length: int, gram: int):
     return run
 
 
+def _portions(groups: list[list[int]], limit: int) -> Iterator[list[list[int]]]:
+    held, n = [], 0
+    for g in groups:
+        if held and n + len(g) > limit:
+            yield held
+            held, n = [], 0
+        held.append(g)
+        n += len(g)
+    if held:
+        yield held
+
+
 def _least_documents(length: int, gram: int, shallow: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: the least document of every window of every context."""
         met: dict[bytes, list[int]] = {}
-        rows, numbers = table.to_pylist(), []
-        for row in rows:
-            data, at = row["data"], 0
-            own = []
-            for size, doc in zip(np.frombuffer(row["sizes"], "<u2").tolist(), np.frombuffer(row["docs"], "<i8").tolist(), strict=True):
+        numbers = []
+        for data, sizes, docs in zip(table.column("data"), table.column("sizes"), table.column("docs"), strict=True):
+            data, at, own = data.as_py(), 0, []
+            for size, doc in zip(np.frombuffer(sizes.as_py(), "<u2").tolist(), np.frombuffer(docs.as_py(), "<i8").tolist(), strict=True):
                 key = data[at : at + size]
                 at += size
                 hit = met.get(key)
@@ -355,7 +368,7 @@ def _least_documents(length: int, gram: int, shallow: int):
                 elif doc < hit[1]:
                     hit[1] = doc
                 own.append(hit[0])
-            numbers.append(np.array(own, np.int64))
+            numbers.append(np.array(own, np.int32))
         keys = list(met)
         least = np.fromiter((v[1] for v in met.values()), np.int64, len(keys))
         windows = np.fromiter(map(len, keys), np.int64, len(keys)) - length  # a key has one byte more than its text
@@ -366,8 +379,7 @@ def _least_documents(length: int, gram: int, shallow: int):
         groups: dict[bytes, list[int]] = {}
         for i, key in enumerate(keys):
             groups.setdefault(key[1 + key[0] : 1 + key[0] + gram], []).append(i)
-        several = [g for g in groups.values() if len(g) > 1]
-        if several:
+        for several in _portions([g for g in groups.values() if len(g) > 1], SORTED_CONTEXTS):
             flat = np.array([i for g in several for i in g], np.int64)
             group = np.repeat(np.arange(len(several)), [len(g) for g in several])
             data = np.frombuffer(b"".join([keys[i][1:] for i in flat.tolist()]), np.uint8)

@@ -7,8 +7,8 @@
   bit string, and the bit offset of every ``STEP``-th token, from which decoding can start;
 * ``parts``: number of tokens before each part, a row per file of blocks.
 
-Passes: tokenise once (ids as binary, written); count ids per task and sum (at most one row per vocabulary entry
-reaches the driver); package-merge gives lengths of at most ``MAX_LENGTH`` bits; range-partition by id and encode.
+Passes: tokenise once (ids as binary, written) and count ids per task; sum the counts (at most one row per vocabulary
+entry reaches the driver); package-merge gives lengths of at most ``MAX_LENGTH`` bits; range-partition by id and encode.
 Decoding looks up ``MAX_LENGTH`` bits at a time in a table of 2**MAX_LENGTH entries, all checkpoints of a block in step.
 
 Words between ASCII white space are encoded by the tokenizers library once and remembered; neither normalisation nor
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ MAX_LENGTH = 20
 STEP = 256
 BLOCK_TOKENS = 1 << 17
 #: Words kept by a Python worker; the memory is cleared beyond that, which changes nothing but speed.
-MEMORY = 200_000
+MEMORY = 600_000
+#: Signs that, behind letters and before white space, are a pre-token of their own.
+PUNCTUATION = ".,!?;:*#$%&"
 
 BLOCKS = "part int, block int, start_in_part bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, offsets binary, bits binary"
 
@@ -45,72 +48,144 @@ BLOCKS = "part int, block int, start_in_part bigint, n_tokens bigint, doc_ids ar
 # ---- tokenising
 
 
-def _encode_words(tokenizer, words: list[bytes], memory: dict[bytes, bytes], at_once: int = 200) -> None:
-    for i in range(0, len(words), at_once):
-        some = [w.decode() for w in words[i : i + at_once]]
-        starts = np.cumsum([0] + [len(w) + 1 for w in some])[:-1]
-        e = tokenizer.encode(" ".join(some), add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
-        at = np.fromiter((s for s, _ in e.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(at, starts).tolist() + [len(ids)]
-        for w, a, b in zip(words[i : i + at_once], cuts, cuts[1:], strict=False):
-            memory[w] = ids[a:b].tobytes()
+class WordMemory:
+    """Words between ASCII white space, each encoded by the library once, with their ids in one flat table."""
+
+    def __init__(self, tokenizer, end_id: int, width: str):
+        self.tokenizer, self.width = tokenizer, width
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.start, self.length = np.zeros(2, np.int64), np.array([0, 1])  # place 0: no ids, place 1: the end id
+        self.flat = np.array([self.end_id], self.width)
+
+    def _add(self, names: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
+        self.known |= zip(names, range(len(self.length), len(self.length) + len(names)), strict=True)
+        length = np.concatenate([self.length, *lengths]).astype(np.int64)
+        self.flat = np.concatenate([self.flat, *ids]).astype(self.width)
+        self.start, self.length = np.cumsum(length) - length, length
+
+    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, one after the other, and how many each has."""
+        lengths = self.length[word]
+        shift = np.repeat(self.start[word] - (np.cumsum(lengths) - lengths), lengths)
+        return self.flat[shift + np.arange(len(shift))], lengths
+
+    def learn(self, words: list[str], at_once: int = 200) -> None:
+        """Letters, then words of letters with punctuation behind them (two pre-tokens), then all others."""
+        plain, ended, odd = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif (core := w.rstrip(PUNCTUATION)).isalpha():
+                ended.append((w, core, w[len(core) :]))
+            else:
+                odd.append(w)
+        known = self.known
+        plain += {core for _, core, _ in ended}.difference(known, plain)
+        odd += {tail for _, _, tail in ended}.difference(known, odd)
+        chunks = [plain[i : i + at_once] for i in range(0, len(plain), at_once)]
+        ids, lengths, names = [], [], []
+        for some, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.closes[np.minimum(got, len(self.closes) - 1)]) + 1
+            if len(ends) != len(some):  # some word is more than one pre-token
+                odd += some
+                continue
+            ids.append(got)
+            lengths.append(np.diff(ends, prepend=0))
+            names += some
+        for i in range(0, len(odd), at_once):
+            some = odd[i : i + at_once]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            at = np.fromiter((s for s, _ in e.offsets), np.int64, len(e.ids))
+            starts = np.cumsum([0] + [len(w) + 1 for w in some])[:-1]
+            ids.append(np.array(e.ids, np.int64))
+            lengths.append(np.diff(np.append(np.searchsorted(at, starts), len(at))))
+            names += some
+        self._add(names, ids, lengths)
+        if ended:
+            pairs = np.array([(self.known[core], self.known[tail]) for _, core, tail in ended], np.int64)
+            made, parts = self._gather(pairs.ravel())
+            self._add([w for w, _, _ in ended], [made], [parts.reshape(-1, 2).sum(1)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by the end id, and the number of ids of each."""
+        if len(self.known) > MEMORY:
+            self.clear()
+        texts = pc.fill_null(texts, "")
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special strings keep their case
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten().dictionary_encode()
+        unique = words.dictionary.to_pylist()
+        self.learn([w for w in unique if w not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        word = place[words.indices.to_numpy()] if len(unique) else np.zeros(0, np.int64)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        word = np.insert(word, ends, 1)
+        ids, lengths = self._gather(word)
+        upto = np.cumsum(lengths)
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 def drops_space(tokenizer) -> bool:
-    """Whether white space only separates, so that words may be encoded one by one."""
-    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " a \n\t b ", " ")]
+    """Whether white space only separates and letter case is ignored, so that words may be encoded one by one."""
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " A \n\t B ", " ")]
     return ids[2] == ids[3] == ids[0] + ids[1] and not ids[4]
 
 
-def encoded_texts(tokenizer, texts: list[str | None], memory: dict[bytes, bytes] | None) -> list[bytes]:
-    """Ids of each text as little-endian u32; without a memory each text goes through the library whole."""
-    if memory is None:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    split = [(t or "").encode().split() for t in texts]
-    if len(memory) > MEMORY:
-        memory.clear()
-    new = {w for words in split for w in words if w not in memory}
-    _encode_words(tokenizer, list(new), memory)
-    get = memory.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+class WholeTexts:
+    """Any other tokenizer: every text goes through the library whole."""
 
+    def __init__(self, tokenizer, end_id: int, width: str):
+        self.tokenizer, self.end_id, self.width = tokenizer, end_id, width
 
-def _tokenise(model, end_id: int):
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
-    tail = np.array([end_id], "<u4").tobytes()
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([i for r in rows for i in r], self.width), np.array([len(r) for r in rows], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model.value)
-        memory = {} if drops_space(tokenizer) else None
-        for batch in batches:
-            for part in slices(batch):
-                made = encoded_texts(tokenizer, part.column("text").to_pylist(), memory)
-                yield batch_of(schema, part.column("id"), [narrow(x + tail) for x in made])
 
-    return run
+@lru_cache(maxsize=1)
+def _encoder(model: str, end_id: int, width: str):
+    """Kept by a Python worker from task to task."""
+    tokenizer = tokenizer_of(model)
+    return (WordMemory if drops_space(tokenizer) else WholeTexts)(tokenizer, end_id, width)
 
 
-def narrow(ids: bytes) -> bytes:
-    """u32 to u16 where it fits, told by a leading byte."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if len(a) == 0 or a.max() < 65536 else b"\4" + ids
+def _tokenise(model, end_id: int, width: str):
+    """Rows of documents (id, ids), and at the end of a task one row with its counts of all ids."""
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, counts = _encoder(model.value, end_id, width), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                ids, lengths = encoder.encode(part.column("text"))
+                seen = np.bincount(ids, minlength=len(counts))
+                seen[: len(counts)] += counts
+                counts = seen
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * ids.dtype.itemsize
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)])
+                yield batch_of(schema, part.column("id"), binary, pa.nulls(len(lengths), pa.binary()))
+        if len(counts):
+            yield batch_of(schema, [None], [None], [counts.astype("<i8").tobytes()])
 
-def wide(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2" if packed[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return run
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tasks added up."""
     total = np.zeros(0, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            n = np.bincount(wide(x.as_py()))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
+            n = np.frombuffer(x.as_py(), "<i8").copy()
+            small, total = sorted((n, total), key=len)
+            total[: len(small)] += small
     seen = np.flatnonzero(total)
     yield batch_of(pa.schema([("token", pa.int64()), ("n", pa.int64())]), seen, total[seen])
 
@@ -221,7 +296,7 @@ def _book(symbols: bytes, lengths: bytes) -> Codebook:
 # ---- files
 
 
-def _pack(book_bytes, block_tokens: int):
+def _pack(book_bytes, block_tokens: int, width: str):
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("offsets", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +308,7 @@ def _pack(book_bytes, block_tokens: int):
         def flush():
             nonlocal block, start, held, ids, rows
             flat = np.concatenate(rows)
-            offsets, bits = book.encode(flat)
+            offsets, bits = book.encode(flat.astype(np.int64))
             out = batch_of(schema, [part], [block], [start], [len(flat)], [ids], [[len(r) for r in rows]], [offsets], [bits])
             block, start, held, ids, rows = block + 1, start + len(flat), 0, [], []
             return out
@@ -241,7 +316,7 @@ def _pack(book_bytes, block_tokens: int):
         for batch in batches:
             for i, x in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
                 ids.append(i)
-                rows.append(wide(x.as_py()))
+                rows.append(np.frombuffer(x.as_buffer(), width))
                 held += len(rows[-1])
                 if held >= block_tokens:
                     yield flush()
@@ -255,14 +330,16 @@ def write_token_store(docs: DataFrame, path: str, model_path: str, end_id: int =
     """Encode every text, append ``end_id``, and write the files below ``path``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    tokens = written(rows.mapInArrow(_tokenise(broadcast_model(spark, model_path), end_id), "id bigint, ids binary"), "tokens")
-    counts = tokens.select("ids").mapInArrow(_histogram, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").toPandas()
+    width = "<u2" if max(end_id, tokenizer_of(open(model_path, encoding="utf-8").read()).get_vocab_size() - 1) < 65536 else "<u4"
+    tokenised = written(rows.mapInArrow(_tokenise(broadcast_model(spark, model_path), end_id, width), "id bigint, ids binary, counts binary"), "tokens")
+    tokens = tokenised.where("ids IS NOT NULL").select("id", "ids")
+    counts = tokenised.where("counts IS NOT NULL").select("counts").mapInArrow(_histogram, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").toPandas()
     symbols = counts["token"].to_numpy(np.int64)
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "token bigint, length bigint").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast((symbols.tobytes(), lengths.tobytes()))
     dealt = tokens.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(_pack(book, block_tokens), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(_pack(book, block_tokens, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per file
     before, starts = 0, []
