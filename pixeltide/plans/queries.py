@@ -35,8 +35,8 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded as the SQL side rounds them."""
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles rounded as the SQL side rounds them, without negative zeros."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 # ---- shared SQL
@@ -233,7 +233,7 @@ def logvar_std(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey, (o_custkey % 101) / 80.0 AS t, (o_orderkey % 9) / 10.0 AS a FROM orders)
-  SELECT o_orderkey, round((1 / (1 + exp(-((t - 0.3) / 0.02))) - 1 / (1 + exp(0.3 / 0.02::DOUBLE))) * a + (1 / (1 + exp(-((t - 0.7) / 0.02))) - 1 / (1 + exp(0.7 / 0.02::DOUBLE))) * -0.2, 6) AS state FROM o""")
+  SELECT o_orderkey, round((1 / (1 + exp(-((t - 0.3) / 0.02))) - 1 / (1 + exp(0.3 / 0.02::DOUBLE))) * a + (1 / (1 + exp(-((t - 0.7) / 0.02))) - 1 / (1 + exp(0.7 / 0.02::DOUBLE))) * -0.2, 6) + 0.0 AS state FROM o""")
 def step_state(spark, sf_dir):
     o = P.table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") % 101) / 80.0).alias("t"), ((F.col("o_orderkey") % 9) / 10.0).alias("a"))
     return rounded(o.select("o_orderkey", S.step_state(F.col("t"), [(F.lit(0.3), F.col("a")), (F.lit(0.7), F.lit(-0.2))], 0.02).alias("state")))
