@@ -14,7 +14,8 @@ A byte of document d goes if some string of ``length`` bytes that covers it also
    one other only.  Neighbours that agree in ``length`` bytes form a class; its least document is the answer.
 5. A slice gets, per distinct string, the least document of each of its windows, and removes what a smaller one has.
 
-Every message is bounded by its slice or its bucket; the number of buckets follows the input's bytes.
+Every message is bounded by its slice or its bucket and travels compressed; the number of buckets follows the input's
+bytes.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; a null id counts as larger than
 all others; documents of equal id take nothing from each other; one row per input row; an empty table gives an empty
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,17 @@ MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
+# ---- messages
+
+
+def packed(data: bytes | np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 # ---- anchors
 
 
@@ -219,13 +232,13 @@ def _cut(limit: int):
             for i, t in zip(batch.column("id").to_pylist(), batch.column("data"), strict=True):
                 t = t.as_py() or b""
                 if texts and held + len(t) > limit:
-                    yield batch_of(schema, [number], [ids], [[len(x) for x in texts]], [b"".join(texts)])
+                    yield batch_of(schema, [number], [ids], [[len(x) for x in texts]], [packed(b"".join(texts), 3)])
                     number, ids, texts, held = number + 1, [], [], 0
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
         if texts:
-            yield batch_of(schema, [number], [ids], [[len(x) for x in texts]], [b"".join(texts)])
+            yield batch_of(schema, [number], [ids], [[len(x) for x in texts]], [packed(b"".join(texts), 3)])
 
     return run
 
@@ -238,7 +251,7 @@ class Slice:
         self.order = np.array([NO_DOC if i is None else i for i in self.ids], np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.raw, self.length = row["data"], length
+        self.raw, self.length = unpacked(row["data"]), length
         self.data = np.frombuffer(self.raw, np.uint8)
         room = np.repeat(self.ends, self.sizes) - np.arange(len(self.data))
         self.at, h, self.first, self.last = anchors(self.data, room, length, gram)
@@ -333,7 +346,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
                 for bucket, own in found.items():
                     sizes = np.fromiter(map(len, own), "<u2", len(own))
                     docs = np.fromiter((v[1] for v in own.values()), "<i8", len(own))
-                    out.append((bucket, row["slice"], sizes.tobytes(), docs.tobytes(), b"".join(own)))
+                    out.append((bucket, row["slice"], packed(sizes.tobytes()), packed(docs.tobytes()), packed(b"".join(own))))
                 if out:
                     yield batch_of(schema, *(list(c) for c in zip(*out, strict=True)))
 
@@ -358,8 +371,8 @@ def _least_documents(length: int, gram: int, shallow: int):
         met: dict[bytes, list[int]] = {}
         numbers = []
         for data, sizes, docs in zip(table.column("data"), table.column("sizes"), table.column("docs"), strict=True):
-            data, at, own = data.as_py(), 0, []
-            for size, doc in zip(np.frombuffer(sizes.as_py(), "<u2").tolist(), np.frombuffer(docs.as_py(), "<i8").tolist(), strict=True):
+            data, at, own = unpacked(data.as_py()), 0, []
+            for size, doc in zip(np.frombuffer(unpacked(sizes.as_py()), "<u2").tolist(), np.frombuffer(unpacked(docs.as_py()), "<i8").tolist(), strict=True):
                 key = data[at : at + size]
                 at += size
                 hit = met.get(key)
@@ -408,7 +421,7 @@ def _least_documents(length: int, gram: int, shallow: int):
         for own in numbers:
             n = run_count[own]
             pick = np.repeat(run_first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            replies.append((n.astype("<u1").tobytes(), run_size[pick].astype("<u1").tobytes(), answer[run_at[pick]].astype("<i8").tobytes()))
+            replies.append(tuple(packed(x.tobytes()) for x in (n.astype("<u1"), run_size[pick].astype("<u1"), answer[run_at[pick]].astype("<i8"))))
         made = [pa.array(c, pa.binary()) for c in zip(*replies, strict=True)]
         return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "runs": made[0], "sizes": made[1], "docs": made[2]})
 
@@ -424,8 +437,8 @@ def _removed(s: Slice, marks: list[dict], replies: list[dict]) -> np.ndarray:
     sorted_bucket = bucket[by_bucket]
     for r in replies:
         mine = by_bucket[np.searchsorted(sorted_bucket, r["bucket"]) : np.searchsorted(sorted_bucket, r["bucket"], side="right")]
-        runs = np.frombuffer(r["runs"], np.uint8).astype(np.int64)
-        size, doc = np.frombuffer(r["sizes"], np.uint8).astype(np.int64), np.frombuffer(r["docs"], "<i8")
+        runs = np.frombuffer(unpacked(r["runs"]), np.uint8).astype(np.int64)
+        size, doc = np.frombuffer(unpacked(r["sizes"]), np.uint8).astype(np.int64), np.frombuffer(unpacked(r["docs"]), "<i8")
         first = (np.cumsum(runs) - runs)[number[mine]]
         n = runs[number[mine]]
         pick = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -447,12 +460,8 @@ def _finish(buckets: int, length: int, gram: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _dicts(batch):
-                if row["replies"]:
-                    s = Slice(row, buckets, length, gram)
-                    gone = _removed(s, row["marks"], row["replies"])
-                else:
-                    gone = np.zeros(len(row["data"]), bool)
-                data, at, out = row["data"], 0, []
+                data, at, out = unpacked(row["data"]), 0, []
+                gone = _removed(Slice(row, buckets, length, gram), row["marks"], row["replies"]) if row["replies"] else np.zeros(len(data), bool)
                 for i, size in zip(row["ids"], row["sizes"], strict=True):
                     mask = gone[at : at + size]
                     removed = int(mask.sum())
