@@ -37,6 +37,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNDECIDED = "und"
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text; numerals that Python counts as word characters are taken out."""
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [x for w in words if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
+
+
 def trigram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash cell of every trigram of the words (each has as many as letters), and where each word's begin."""
     codes = np.frombuffer(("_" + "_".join(words) + "_").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -67,7 +75,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(letter_words(text))
             held = sum(map(len, words.values()))
             if held > MEMORY:
                 settle()
@@ -173,7 +181,7 @@ class Predictor:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts that have letters, and the shares of their languages."""
-        words = [LETTERS.findall((t or "").lower()) for t in texts]
+        words = [letter_words(t or "") for t in texts]
         some = np.array([i for i, w in enumerate(words) if w], np.int64)
         if not len(some) or not self.model.languages:
             return some[:0], np.zeros((0, len(self.model.languages)))

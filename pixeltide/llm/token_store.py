@@ -36,7 +36,9 @@ from pixeltide.llm.token_counts import broadcast_model, tokenizer_of
 
 MAX_LENGTH = 20
 STEP = 256
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 19
+#: Text split into words at once.
+TEXT_BYTES = 8 << 20
 #: Words kept by a Python worker; the memory is cleared beyond that, which changes nothing but speed.
 MEMORY = 600_000
 #: Signs that, behind letters and before white space, are a pre-token of their own.
@@ -164,7 +166,7 @@ def _tokenise(model, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, counts = _encoder(model.value, end_id, width), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 ids, lengths = encoder.encode(part.column("text"))
                 seen = np.bincount(ids, minlength=len(counts))
                 seen[: len(counts)] += counts

@@ -13,10 +13,10 @@ each query:
 Before, the k-th best among the ``HEAD`` longest vectors gives every query a floor to start from, so that tasks emit
 only scores that can matter; the winners of all tasks meet in one aggregation by query.
 
-Defined cases: vectors that are null, empty of queries' length, or hold null or non-finite components take no part;
+Defined cases: vectors that are null, empty, of another length than the query's, or hold null or non-finite components take no part;
 equal scores go to the smaller id; rows sharing a query's id are its own and are no candidates; a query id that is
-repeated is answered once, for its least vector; null ids take no part; fewer than k candidates give all of them; an
-empty table gives an empty result.
+repeated is answered once, for its least vector; null ids take no part; fewer than k candidates give all of them;
+scores stay exact up to 64 bits, larger ones are an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ RESULT = "query_id bigint, vec_id bigint, score bigint"
 def integer_vectors(table: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """id and v, the scaled components as doubles holding whole numbers."""
     x = F.col(vector_col)
-    fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     made = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("double"))
     return table.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), made.alias("v"))
 
