@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import batch_of, slices
-from pixeltide.llm.token_counts import broadcast_model
+from pixeltide.llm.word_memory import broadcast_model
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -1,6 +1,6 @@
 """Token counts of whole texts, huge documents by overlap resynchronisation.
 
-Ordinary documents go through the library in batches.  A text longer than ``chunk`` characters is encoded in chunks
+Words of ordinary documents are encoded by the library once and remembered (``word_memory``).  A text longer than ``chunk`` characters is encoded in chunks
 that overlap, each with offsets.  Two neighbours A (ending at a1) and B (starting at b0 < a1) are spliced at a position
 p of the overlap that is provably stable:
 
@@ -15,48 +15,27 @@ By induction A is right up to p, and from p on B is right.  If the overlap holds
 chunk that reaches the end of the text.  The tokens of a document are counted chunk by chunk, so memory is bounded by
 a chunk, not by the document, unless no stable place exists at all.
 
-The tokenizer's JSON is read by the driver and broadcast; files above ``MAX_MODEL_BYTES`` are refused.
-
 Defined cases: null text counts as empty (0 bytes, 0 tokens); ids may be null or repeated (one row per input row); an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import batch_of, slices
+from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
 
-MAX_MODEL_BYTES = 64 << 20
 CHUNK, OVERLAP, GUARD = 32_768, 512, 64
 SPACES = " \t\n\r\x0b\x0c"
 
 
-def broadcast_model(spark: SparkSession, path: str):
-    """The tokenizer file as a broadcast string; its size is checked before."""
-    if (n := os.path.getsize(path)) > MAX_MODEL_BYTES:
-        raise ValueError(f"{path} has {n} bytes, more than {MAX_MODEL_BYTES}")
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
-
-
-@lru_cache(maxsize=4)
-def tokenizer_of(model: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_str(model)
-    made.no_truncation()
-    made.no_padding()
-    return made
-
-
 def stable_cut(text: str, low: int, high: int, ends_a: set[int], ends_b: set[int]) -> int | None:
     """The first stable position p with low <= p < high, or None."""
     for p in range(max(low, 1), min(high, len(text))):
@@ -104,18 +83,15 @@ def _count(model, chunk: int, overlap: int, guard: int):
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(model.value)
+        tokenizer, encoder = tokenizer_of(model.value), encoder_of(model.value)
         for batch in batches:
             for part in slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                counts = [0] * len(texts)
-                short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-                for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-                    counts[i] = len(e)
-                for i, t in enumerate(texts):
-                    if len(t) > chunk:
-                        counts[i] = sum(map(len, spliced(tokenizer, t, chunk, overlap, guard)))
-                yield batch_of(schema, part.column("id"), [len(t.encode()) for t in texts], counts)
+                texts = part.column("text")
+                huge = pc.greater(pc.fill_null(pc.utf8_length(texts), 0), chunk)
+                counts = encoder.count(pc.if_else(huge, "", texts))
+                for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
+                    counts[i] = sum(map(len, spliced(tokenizer, texts[i].as_py(), chunk, overlap, guard)))
+                yield batch_of(schema, part.column("id"), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), counts)
 
     return run
 

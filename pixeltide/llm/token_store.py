@@ -26,23 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import batch_of, new_path, slices, written
-from pixeltide.llm.token_counts import broadcast_model, tokenizer_of
+from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
 
 MAX_LENGTH = 20
 STEP = 256
 BLOCK_TOKENS = 1 << 19
 #: Text split into words at once.
 TEXT_BYTES = 8 << 20
-#: Words kept by a Python worker; the memory is cleared beyond that, which changes nothing but speed.
-MEMORY = 600_000
-#: Signs that, behind letters and before white space, are a pre-token of their own.
-PUNCTUATION = ".,!?;:*#$%&"
 
 BLOCKS = "part int, block int, start_in_part bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, offsets binary, bits binary"
 
@@ -50,121 +45,12 @@ BLOCKS = "part int, block int, start_in_part bigint, n_tokens bigint, doc_ids ar
 # ---- tokenising
 
 
-class WordMemory:
-    """Words between ASCII white space, each encoded by the library once, with their ids in one flat table."""
-
-    def __init__(self, tokenizer, end_id: int, width: str):
-        self.tokenizer, self.width = tokenizer, width
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.closes = np.zeros(1 + max(vocabulary.values(), default=0), bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.end_id = end_id
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.start, self.length = np.zeros(2, np.int64), np.array([0, 1])  # place 0: no ids, place 1: the end id
-        self.flat = np.array([self.end_id], self.width)
-
-    def _add(self, names: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
-        self.known |= zip(names, range(len(self.length), len(self.length) + len(names)), strict=True)
-        length = np.concatenate([self.length, *lengths]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, *ids]).astype(self.width)
-        self.start, self.length = np.cumsum(length) - length, length
-
-    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words at these places, one after the other, and how many each has."""
-        lengths = self.length[word]
-        shift = np.repeat(self.start[word] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[shift + np.arange(len(shift))], lengths
-
-    def learn(self, words: list[str], at_once: int = 200) -> None:
-        """Letters, then words of letters with punctuation behind them (two pre-tokens), then all others."""
-        plain, ended, odd = [], [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif (core := w.rstrip(PUNCTUATION)).isalpha():
-                ended.append((w, core, w[len(core) :]))
-            else:
-                odd.append(w)
-        known = self.known
-        plain += {core for _, core, _ in ended}.difference(known, plain)
-        odd += {tail for _, _, tail in ended}.difference(known, odd)
-        chunks = [plain[i : i + at_once] for i in range(0, len(plain), at_once)]
-        ids, lengths, names = [], [], []
-        for some, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-            got = np.array(e.ids, np.int64)
-            ends = np.flatnonzero(self.closes[np.minimum(got, len(self.closes) - 1)]) + 1
-            if len(ends) != len(some):  # some word is more than one pre-token
-                odd += some
-                continue
-            ids.append(got)
-            lengths.append(np.diff(ends, prepend=0))
-            names += some
-        for i in range(0, len(odd), at_once):
-            some = odd[i : i + at_once]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            at = np.fromiter((s for s, _ in e.offsets), np.int64, len(e.ids))
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])[:-1]
-            ids.append(np.array(e.ids, np.int64))
-            lengths.append(np.diff(np.append(np.searchsorted(at, starts), len(at))))
-            names += some
-        self._add(names, ids, lengths)
-        if ended:
-            pairs = np.array([(self.known[core], self.known[tail]) for _, core, tail in ended], np.int64)
-            made, parts = self._gather(pairs.ravel())
-            self._add([w for w, _, _ in ended], [made], [parts.reshape(-1, 2).sum(1)])
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each followed by the end id, and the number of ids of each."""
-        if len(self.known) > MEMORY:
-            self.clear()
-        texts = pc.fill_null(texts, "")
-        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special strings keep their case
-        split = pc.ascii_split_whitespace(low)
-        words = split.flatten().dictionary_encode()
-        unique = words.dictionary.to_pylist()
-        self.learn([w for w in unique if w not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
-        word = place[words.indices.to_numpy()] if len(unique) else np.zeros(0, np.int64)
-        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        word = np.insert(word, ends, 1)
-        ids, lengths = self._gather(word)
-        upto = np.cumsum(lengths)
-        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
-
-
-def drops_space(tokenizer) -> bool:
-    """Whether white space only separates and letter case is ignored, so that words may be encoded one by one."""
-    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " A \n\t B ", " ")]
-    return ids[2] == ids[3] == ids[0] + ids[1] and not ids[4]
-
-
-class WholeTexts:
-    """Any other tokenizer: every text goes through the library whole."""
-
-    def __init__(self, tokenizer, end_id: int, width: str):
-        self.tokenizer, self.end_id, self.width = tokenizer, end_id, width
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-        return np.array([i for r in rows for i in r], self.width), np.array([len(r) for r in rows], np.int64)
-
-
-@lru_cache(maxsize=1)
-def _encoder(model: str, end_id: int, width: str):
-    """Kept by a Python worker from task to task."""
-    tokenizer = tokenizer_of(model)
-    return (WordMemory if drops_space(tokenizer) else WholeTexts)(tokenizer, end_id, width)
-
-
 def _tokenise(model, end_id: int, width: str):
     """Rows of documents (id, ids), and at the end of a task one row with its counts of all ids."""
     schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = _encoder(model.value, end_id, width), np.zeros(0, np.int64)
+        encoder, counts = encoder_of(model.value, end_id, width), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, limit=TEXT_BYTES):
                 ids, lengths = encoder.encode(part.column("text"))
