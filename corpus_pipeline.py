@@ -25,9 +25,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+#: Texts that share this part of their five-word shingles are near-duplicates.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the row of the smallest doc_id stays; five-word shingles would need no other code."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near-duplicates the row of the smallest doc_id stays.
+
+    Fingerprints of five-word shingles within the radius that the similarity stands for, verified on the shingles.
+    """
+    return simhash.drop_near_duplicates(docs, shingle=NEAR_SHINGLE, similarity=NEAR_SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,12 @@ Search over distinct fingerprints, all counts from all of them:
   its members go to a second search in which every choice of RADIUS bits is masked, so that equal keys are links, which
   needs no comparison and no more memory than the first member.
 
+With ``similarity`` a link also needs that share of common shingles (Jaccard), so that a wide radius - ``radius_for`` gives
+the one at which half the pairs of that similarity are expected - finds similar texts without joining others.  Nodes are
+then distinct texts; the candidate pairs of a bucket are compared exactly.  A bucket with more than ``DENSE`` pairs per
+member, as a large group of near copies makes it, sends for each member the pair with its nearest and with the member of
+most neighbours; members of an oversized bucket are dealt out again by the bits the bucket left open.
+
 Defined cases: null text counts as empty; no words give fingerprint 0, linked like any other; a null id never is a
 component's id unless all its ids are null; repeated rows share a fingerprint and a component; an empty table gives an
 empty result.
@@ -26,7 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import comb
+from math import acos, ceil, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +45,11 @@ from pixeltide.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 RUN = 16_384
+DENSE = 8
 #: Bytes of one text cut into words at a time.
 PIECE = 4 << 20
 #: Relative cost of shuffling one probe and of comparing one pair.
-ROW_COST, PAIR_COST = 1.0, 0.002
+ROW_COST, PAIR_COST = 1.0, 0.001
 
 
 # ---- fingerprints
@@ -59,35 +66,45 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    ones, n, tail = np.zeros(BITS, np.int64), 0, []
-    digest = xxhash.xxh64_intdigest
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles; a shorter text that has words is one shingle."""
+    digest, n, tail = xxhash.xxh64_intdigest, 0, []
     for words in _pieces(text.lower()):
         words = tail + words
         if len(words) >= shingle:
             made = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-            h = np.fromiter(map(digest, made, repeat(SEED)), "<u8", len(words) - shingle + 1)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            n += len(h)
+            n += 1
+            yield np.fromiter(map(digest, made, repeat(SEED)), "<u8", len(words) - shingle + 1)
         tail = words[-(shingle - 1) :] if shingle > 1 else []
-    if not n:
-        return digest(b" ".join(tail), SEED) if tail else 0
+    if not n and tail:
+        yield np.array([digest(b" ".join(tail), SEED)], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(shingle: int):
     schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64())])
-    for batch in batches:
-        for part in slices(batch):
-            fps = np.array([fingerprint((t or "").encode()) for t in part.column("text").to_pylist()], np.uint64)
-            yield batch_of(schema, part.column("id"), part.column("content"), fps.view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                fps = np.array([fingerprint((t or "").encode(), shingle) for t in part.column("text").to_pylist()], np.uint64)
+                yield batch_of(schema, part.column("id"), part.column("content"), fps.view(np.int64))
+
+    return run
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """id, content (a hash of the text that tells rows of one id apart) and fp, the 64 bits as a signed number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    return rows.mapInArrow(_fingerprints, "id bigint, content bigint, fp bigint")
+    return rows.mapInArrow(_fingerprints(shingle), "id bigint, content bigint, fp bigint")
 
 
 # ---- layout
@@ -157,12 +174,12 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
     return best[radius + 1]
 
 
-def layout(distinct: DataFrame, total: int, radius: int = RADIUS, most_parts: int = 4) -> list[int]:
-    """The masks to search under, from statistics of all fingerprints."""
+def layout(distinct: DataFrame, total: int, radius: int = RADIUS) -> list[int]:
+    """The masks to search under, from statistics of all fingerprints.  A wide radius needs more partitions."""
     both = bit_statistics(distinct)
     p = both.diagonal() / max(total, 1)
     agree = p**2 + (1 - p) ** 2
-    layouts = [grouped_bits(both, total, m) for m in range(1, most_parts + 1)]
+    layouts = [grouped_bits(both, total, m) for m in range(max(1, radius // 2), max(4, radius * 4 // 5) + 1)]
     exact = iter(collisions(distinct, [mask_of(g) for parts in layouts for g in parts]))
     options = []
     for parts in layouts:
@@ -174,7 +191,11 @@ def layout(distinct: DataFrame, total: int, radius: int = RADIUS, most_parts: in
                 for t in range(radius, 0, -1):
                     odds[t] += odds[t - 1] * (1 - agree[b]) / agree[b]
             for t in range(radius + 1):
-                row.append(ROW_COST * total * comb(len(group), t) + PAIR_COST * max(pairs, 1.0) * sum(odds[: t + 1]) * max(1, comb(len(group), t) ** 0.5))
+                if t >= len(group):
+                    row.append(float("inf"))  # no bit would be left to search by
+                    continue
+                masks = comb(len(group), t)
+                row.append(ROW_COST * total * masks + PAIR_COST * max(pairs, 1.0) * sum(odds[: t + 1]) * max(1, masks**0.5))
             costs.append(row)
         options.append((*allocate(costs, radius), parts))
     _, thresholds, parts = min(options, key=lambda x: x[:2])
@@ -201,6 +222,171 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
 
+def _near_pairs(fps: np.ndarray, radius: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within ``radius`` in one bucket; if they are many, two for each member."""
+    n, a, b, found = len(fps), [], [], 0
+    step = max(1, (1 << 21) // n)
+    for i in range(0, n, step):
+        x, y = np.nonzero(np.bitwise_count(fps[i : i + step, None] ^ fps[None, i:]) <= radius)
+        above = y > x
+        a.append(x[above] + i)
+        b.append(y[above] + i)
+        found += len(a[-1])
+        if found > dense * n:
+            break
+    else:
+        return np.concatenate(a), np.concatenate(b)
+    degree, nearest, far = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(0, n, step):
+        d = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :])
+        degree[i : i + step] = (d <= radius).sum(1)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = 255
+        nearest[i : i + step], far[i : i + step] = d.argmin(1), d.min(1)
+    hub = int(degree.argmax())
+    linked, near_hub = np.flatnonzero(far <= radius), np.flatnonzero(np.bitwise_count(fps ^ fps[hub]) <= radius)
+    return np.concatenate([linked, near_hub]), np.concatenate([nearest[linked], np.full(len(near_hub), hub)])
+
+
+def _small_pairs(run: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within ``radius`` in runs of at most ``most`` members, for all runs at once."""
+    a, b = [], []
+    for d in range(1, most):
+        hit = np.flatnonzero((run[d:] == run[:-d]) & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius))
+        a.append(hit)
+        b.append(hit + d)
+    return (np.concatenate(a), np.concatenate(b)) if a else (run[:0], run[:0])
+
+
+SMALL = 24
+
+
+def _pairs(radius: int, run: int):
+    """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("over", pa.bool_())])
+
+    def pairs_of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(fps)))
+        small = np.repeat(sizes <= SMALL, sizes)
+        places = np.flatnonzero(small)
+        x, y = _small_pairs((np.cumsum(new) - 1)[places], fps[places], radius, SMALL)
+        a, b = [places[x]], [places[y]]
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            x, y = _near_pairs(fps[s : s + n], radius)
+            a.append(x + s)
+            b.append(y + s)
+        left, right = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
+        low, high = np.minimum(left, right), np.maximum(left, right)
+        return batch_of(schema, low, high, np.zeros(len(low), bool))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, nodes, flowing = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        for batch in batches:
+            mask, key, fp, node = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "key", "fp", "node"))
+            keys, fps, nodes = np.concatenate([keys, np.stack([mask, key], 1)]), np.concatenate([fps, fp.view(np.uint64)]), np.concatenate([nodes, node])
+            if flowing is not None:
+                other = (keys != flowing).any(1)
+                n = int(other.argmax()) if other.any() else len(keys)
+                yield batch_of(schema, keys[:n, 0], nodes[:n], np.ones(n, bool))
+                keys, fps, nodes = keys[n:], fps[n:], nodes[n:]
+                if not len(keys):
+                    continue
+                flowing = None
+            differs = (keys != keys[-1]).any(1)
+            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            if last:
+                yield pairs_of(keys[:last], fps[:last], nodes[:last])
+                keys, fps, nodes = keys[last:], fps[last:], nodes[last:]
+            if len(keys) > run:
+                yield batch_of(schema, keys[:, 0], nodes, np.ones(len(keys), bool))
+                flowing, keys, fps, nodes = keys[-1], keys[:0], fps[:0], nodes[:0]
+        if len(keys):
+            yield pairs_of(keys, fps, nodes)
+
+    return work
+
+
+def candidate_pairs(nodes: DataFrame, radius: int, run: int = RUN, masks: list[int] | None = None) -> DataFrame:
+    """Pairs (a, b) of ``node``, a < b, whose ``fp`` are within ``radius``."""
+    spark, total = nodes.sparkSession, nodes.count()
+    if total < 2:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    masks = masks or layout(nodes, total, radius)
+
+    def search(rows: DataFrame, masks: list[int], run: int) -> DataFrame:
+        keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
+        probes = rows.select(keys, "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
+        return probes.mapInArrow(_pairs(radius, run), "a bigint, b bigint, over boolean")
+
+    found = written(search(nodes, masks, run), "pairs")
+    out = found.where("NOT over").select("a", "b")
+    full = found.where("over").select(F.col("a").cast("int").alias("mask"), F.col("b").alias("node"))
+    for (number,) in full.select("mask").distinct().orderBy("mask").collect():  # at most one per mask
+        members = nodes.join(full.where(F.col("mask") == number).select("node"), "node", "left_semi")
+        rest = [b for b in range(BITS) if not masks[number] >> b & 1]
+        out = out.unionByName(search(members, [masks[number] | m for m in complement_masks(rest, radius)], 1 << 62).where("NOT over").select("a", "b"))
+    return out.where("a <> b").distinct()
+
+
+def complement_masks(bits: list[int], radius: int) -> list[int]:
+    """Masks over ``bits`` of which two members within ``radius`` share one: the fewest that keep half the bits or more."""
+    options = []
+    for parts in range(1, min(len(bits), radius + 1) + 1):
+        groups = [bits[i::parts] for i in range(parts)]
+        spare = radius + 1 - parts
+        t = [spare // parts + (i < spare % parts) for i in range(parts)]
+        if all(x < len(g) for x, g in zip(t, groups, strict=True)) and (n := sum(comb(len(g), x) for x, g in zip(t, groups, strict=True))) <= 4096:
+            options.append((n, parts, groups, t))
+    if not options:
+        return [0]
+    _, _, groups, t = next((o for o in sorted(options, key=lambda o: o[1]) if o[0] <= 256), min(options, key=lambda o: o[0]))
+    return [mask_of(set(g) - set(out)) for g, x in zip(groups, t, strict=True) for out in combinations(g, x)]
+
+
+def radius_for(similarity: float) -> int:
+    """Differing bits expected of two sets of this Jaccard similarity."""
+    return ceil(BITS * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def _shingle_sets(shingle: int):
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t or "").encode(), shingle)])).tobytes() for t in part.column("text").to_pylist()]
+                yield batch_of(schema, part.column("node"), made)
+
+    return run
+
+
+def _similar(least: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * max(1, len(x) + len(y) - common))
+            keep = np.array(keep, bool)
+            yield batch_of(schema, batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)))
+
+    return run
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+    """The pairs whose texts share at least ``least`` of their shingles; only texts that stand in a pair are read on."""
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(some, "node", "left_semi")
+    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
+
+
 def _verify(radius: int, run: int, linked: bool):
     """Streams rows sorted by (mask, key, fp); ``linked``: equal keys are links already."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("over", pa.bool_())])
@@ -278,19 +464,29 @@ def links(distinct: DataFrame, radius: int = RADIUS, run: int = RUN, masks: list
 
 
 class NearDuplicates:
-    """``rows``: id, content, fp of every document; ``groups``: fp, component_id, keeper of every distinct fingerprint."""
+    """``rows``: id, content, fp, node of every document; ``groups``: node, component_id, keeper of every node.
+
+    Nodes are distinct fingerprints, or with ``similarity`` distinct texts.
+    """
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, run: int = RUN):
-        self.rows = written(fingerprints(docs, text_col, id_col), "fingerprints")
+    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int | None = None, shingle: int = SHINGLE, run: int = RUN, similarity: float | None = None):
+        radius = radius if radius is not None else radius_for(similarity) if similarity else RADIUS
+        made = fingerprints(docs, text_col, id_col, shingle).withColumn("node", F.col("content" if similarity else "fp"))
+        self.rows = written(made, "fingerprints")
         keeper = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("keeper")
-        distinct = written(self.rows.groupBy("fp").agg(keeper, F.count("*").alias("n")), "distinct")
-        roots = written(components(links(distinct, radius, run)), "roots")
-        joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "keeper")
+        distinct = written(self.rows.groupBy("node", "fp").agg(keeper), "distinct")
+        if similarity:
+            pairs = written(candidate_pairs(distinct.select("node", "fp"), radius, run), "candidates")
+            joined = similar_pairs(pairs, docs, text_col, shingle, similarity)
+        else:
+            joined = links(distinct.select("fp"), radius, run)
+        roots = written(components(joined), "roots").withColumnRenamed("node", "member")
+        joined = distinct.join(roots, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "keeper")
         least = joined.groupBy("root").agg(F.min("keeper").alias("keeper"))
-        self.groups = written(joined.select("fp", "root").join(least, "root").select("fp", F.col("keeper.id").alias("component_id"), "keeper"), "groups")
+        self.groups = written(joined.select("node", "root").join(least, "root").select("node", F.col("keeper.id").alias("component_id"), "keeper"), "groups")
 
     def per_document(self) -> DataFrame:
-        joined = self.rows.join(self.groups, "fp")
+        joined = self.rows.join(self.groups, "node")
         return joined.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -226,6 +226,9 @@ def test_simhash(table, pairs, nothing):
     same([tuple(r) for r in simhash.near_duplicates(table).collect()], slow_groups(pairs))
     kept = simhash.drop_near_duplicates(table)
     assert kept.columns == table.columns and kept.count() == len({g for *_, g in slow_groups(pairs)})
+    wide = simhash.drop_near_duplicates(table, shingle=5, similarity=0.8)
+    assert wide.columns == table.columns and 0 < wide.count() <= kept.count() + 3
+    assert simhash.drop_near_duplicates(nothing, shingle=5, similarity=0.8).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
 
 
@@ -255,6 +258,70 @@ def test_links_lose_nothing(spark, run):
     assert {x: root.get(x, x) for x in signed} == {x: min(y for y in signed if find(y) == find(x)) for x in signed}
 
 
+def slow_similar(texts, shingle=5, least=0.8):
+    def cut(x):
+        w = x.encode().lower().split()
+        return {b" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or ({b" ".join(w)} if w else set())
+
+    sets = [cut(x) for x in texts]
+    return {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= least * max(1, len(sets[i] | sets[j]))}
+
+
+@pytest.mark.parametrize("run", [3, 16_384])
+def test_similar_texts_are_grouped(spark, run):
+    r = random.Random(5)
+    base = [" ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(150)) for _ in range(30)]
+    texts = list(base)
+    for b in base[:12]:
+        for k in (1, 2, 60):
+            w = b.split()
+            for _ in range(k):
+                w[r.randrange(len(w))] = "".join(r.choices("xyz", k=5))
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = simhash.NearDuplicates(df, shingle=5, similarity=0.8, run=run)
+    got = {x["id"]: x["component_id"] for x in found.per_document().collect()}
+    true = slow_similar(texts)
+    assert sum(got[i] == got[j] for i, j in true) >= 0.8 * len(true) > 0
+    parent = list(range(len(texts)))
+    for i, j in sorted(true):
+        a, b = sorted((got_root(parent, i), got_root(parent, j)))
+        parent[b] = a
+    for i, c in got.items():
+        assert got_root(parent, i) == got_root(parent, c)  # nothing is joined that is not similar
+    assert simhash.drop_near_duplicates(df, shingle=5, similarity=0.8).count() == len(set(got.values()))
+
+
+def got_root(parent, i):
+    while parent[i] != i:
+        i = parent[i]
+    return i
+
+
+def test_candidate_pairs_lose_nothing(spark):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = [int(b) for b in base]
+    for b in base:
+        for k in (1, 4, 6, 9):
+            fps.append(int(b) ^ sum(1 << int(i) for i in r.choice(64, k, replace=False)))
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    df = spark.createDataFrame(list(enumerate(signed)), "node bigint, fp bigint")
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 6}
+    for run in (3, 16_384):
+        assert {tuple(x) for x in simhash.candidate_pairs(df, 6, run).collect()} == want
+
+
+def test_dense_buckets_keep_members_together():
+    r = np.random.default_rng(4)
+    fps = np.unique(np.uint64(12345) ^ (np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64)))
+    a, b = simhash._near_pairs(fps, 6)
+    parent = list(range(len(fps)))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        parent[max(got_root(parent, i), got_root(parent, j))] = min(got_root(parent, i), got_root(parent, j))
+    assert len({got_root(parent, i) for i in range(len(fps))}) == 1 and len(a) <= 2 * len(fps)
+
+
 def test_thresholds_are_allocated():
     cost, chosen = simhash.allocate([[0, 5, 50, 500], [0, 1, 2, 900]], 2)
     assert sum(t + 1 for t in chosen) == 3 and (cost, chosen) == (7, [0, 1])
