@@ -150,4 +150,15 @@ SELECT doc_id,
 FROM documents
 """
 
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS p, unnest(list_transform(range(0, len(h) // 2), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM d
+), least_doc AS (SELECT s, min(doc_id) AS first_doc FROM g WHERE len(s) = 100 GROUP BY s
+), marked AS (SELECT g.doc_id, g.p, substr(g.s, 1, 2) AS byte, coalesce(l.first_doc < g.doc_id, false) AS start FROM g LEFT JOIN least_doc l ON g.s = l.s
+), gone AS (SELECT *, max(CASE WHEN start THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM marked
+), spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM gone
+), sums AS (SELECT doc_id, count(*) AS n_bytes, CAST(count_if(gone) AS BIGINT) AS n_removed, CAST(count_if(opens) AS BIGINT) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+ORACLE_SQL = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
