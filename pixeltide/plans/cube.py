@@ -59,6 +59,8 @@ def height(spark: SparkSession, sf_dir: str) -> int:
 
 def with_cfar(spark: SparkSession, scores: DataFrame, rows: int, scales=None) -> DataFrame:
     from pixeltide.operators.cfar import cfar
+    from pixeltide.plans.shared import settled
 
+    scores = settled(scores, "responses")
     made = cfar(scores, rows, WIDTH, **({"scales": scales} if scales else {}), frame="acq_date")
     return scores.join(made, ["acq_date", "row", "col"], "left")

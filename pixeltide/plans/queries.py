@@ -12,6 +12,7 @@ from pixeltide import defaults as D
 from pixeltide.functions import dates, digests, masks, scores as S
 from pixeltide.operators import baseline as B, composite as C, evaluate as E, regions as R, states as T, thresholds as H
 from pixeltide.plans import cube as P
+from pixeltide.plans.shared import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,7 +383,7 @@ def sampled_pixels(spark, sf_dir):
 
 def _scores(spark, sf_dir) -> DataFrame:
     made = P.with_cfar(spark, P.scored(spark, sf_dir), P.height(spark, sf_dir), SMALL_SCALES)
-    return made.select("pixel_id", "acq_date", "row", "col", "valid", "d2", "cfar", "sam")
+    return settled(made.select("pixel_id", "acq_date", "row", "col", "valid", "d2", "cfar", "sam"), "scores")
 
 
 ALL_SCORES = f"{CUBE}{SCORED}{ring_sql(SMALL_SCALES)}, sc AS (SELECT s.pixel_id, s.acq_date, s.row, s.col, s.valid, s.d2, r.cfar, s.sam FROM scored s LEFT JOIN rings r USING (pixel_id, acq_date))"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pixeltide import defaults as D
 from pixeltide.operators import baseline as B, composite as C, evaluate as E, regions as R, states as T, thresholds as H
 from pixeltide.operators.cfar import cfar
+from pixeltide.plans.shared import settled
 from pixeltide.sources import models as M
 
 
@@ -108,7 +109,8 @@ def scored(cube: DataFrame, predict: Predictor, config: Config) -> DataFrame:
     """valid, d2, sam and cfar of every cell of the cube (pixel_id = row * width + col)."""
     bands = list(config.bands)
     rows = predict(cube.select("pixel_id", "acq_date", *bands))
-    placed = B.score(rows, bands).withColumn("row", F.expr(f"pixel_id div {config.width}").cast("int")).withColumn("col", (F.col("pixel_id") % config.width).cast("int"))
+    placed = B.score(rows, bands)
+    placed = settled(placed.withColumn("row", F.expr(f"pixel_id div {config.width}").cast("int")).withColumn("col", (F.col("pixel_id") % config.width).cast("int")), "responses")
     rings = cfar(placed, config.height, config.width, config.scales, "acq_date")
     return placed.join(rings, ["acq_date", "row", "col"], "left")
 
@@ -127,14 +129,14 @@ def calibrate(cube: DataFrame, predict: Predictor, config: Config, check: bool =
         states = states.select("pixel_id", "frame_id", "acq_date", "valid", *[F.col(f"{b}_mean").alias(b) for b in bands])
     else:
         states = grid
-    selected = T.stable_states(states, bands, config.states).select("pixel_id", "acq_date", "valid", "stable")
+    selected = settled(T.stable_states(states, bands, config.states).select("pixel_id", "acq_date", "valid", "stable"), "states")
     audit = H.date_quality(selected, config.min_valid_fraction, config.min_stable_pixels)
     accepted = audit.where("accepted").select("acq_date")
     if check and accepted.limit(D.MIN_FRAMES).count() < D.MIN_FRAMES:
         raise ValueError(f"fewer than {D.MIN_FRAMES} dates passed quality control")
     rows = scored(cube, predict, config).where("valid").select("pixel_id", "acq_date", "d2", "cfar", "sam")
     support = selected.where("stable").join(accepted, "acq_date", "left_semi").select("pixel_id", "acq_date")
-    sample = H.sample_per_frame(rows.join(support, ["pixel_id", "acq_date"], "left_semi"), config.samples_per_frame, config.seed)
+    sample = settled(H.sample_per_frame(rows.join(support, ["pixel_id", "acq_date"], "left_semi"), config.samples_per_frame, config.seed), "sample")
     found = H.null_thresholds(sample, [config.alpha], config.reference_quantile, minimum=config.min_samples, check=check)
     facts = {
         "reference_quantile": config.reference_quantile, "calibration_frame_count": len(dates), "state_selection_method": f"{config.state_source}_state", "transition_multiplier": config.states.multiplier, "transition_guard_frames": config.states.guard_frames,
