@@ -3,7 +3,8 @@
 Training (once per session, on the templates below and on windows cut from them - labelled rows, at most
 ``max_rows``): sparse multinomial logistic regression (L1, Spark ML) over word n-grams.  Held-out windows calibrate it:
 a temperature minimises their log-loss, and a family is only predicted above the lowest probability at which
-``PRECISION`` of the held-out predictions are right; anything else that reads like a licence is ``unknown``.
+``PRECISION`` of the held-out predictions are right; any other paragraph that speaks of licences or rights
+is ``unknown``.
 
 Scan: a paragraph (line) can only score if it has an n-gram of the vocabulary, and every such n-gram has one of the
 ``anchors`` words, so one regular expression finds all paragraphs to score, exactly.  Those are cut into n-grams, which
@@ -231,7 +232,7 @@ def notices(text: Column, model: Model) -> Column:
         needed = F.element_at(_array(shortest), place)
         contained = shared >= F.least(F.ceil(F.size(x["three"]) * CONTAINED), needed)
         sure = (best >= model.threshold) & contained & (shared > 0)
-        alike = (best >= model.threshold) | (F.size(F.filter(x["matched"], lambda g: g.contains("licen") | g.contains("rights reserved"))) > 0)
+        alike = sure | (F.size(F.filter(x["matched"], lambda g: g.rlike("licen|rights reserved|copyright|spdx"))) > 0)
         return F.struct(F.when(sure, F.element_at(_array(classes), place)).otherwise(F.lit(UNKNOWN)).alias("family"), best.alias("score"), sure.alias("confirmed"), alike.alias("alike"))
 
     lines = F.transform(F.split(F.lower(text), "\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
