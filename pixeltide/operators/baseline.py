@@ -71,14 +71,29 @@ def solve(sums: DataFrame, n_terms: int, ridge: float = 1e-6, keys: tuple[str, .
     return sums.mapInPandas(run, schema)
 
 
-def fit(cube: DataFrame, bands: list[str], start, end, harmonics: int = D.HARMONICS, ridge: float = 1e-6, recency: float = 0.0, years: float | None = None) -> DataFrame:
-    """model_coef: pixel_id, band, beta, log_var, n."""
+MODES = ("full", "no_spatial", "no_temporal", "no_prob")
+
+
+def fit(cube: DataFrame, bands: list[str], start, end, harmonics: int = D.HARMONICS, ridge: float = 1e-6, recency: float = 0.0, years: float | None = None, mode: str = "full") -> DataFrame:
+    """model_coef: pixel_id, band, beta, log_var, n.
+
+    Ablations: ``no_spatial`` fits one curve for all pixels, ``no_temporal`` a constant, ``no_prob`` takes unit variance.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     rows = long_form(cube, bands, start, end)
     total_years = years or (pd.Timestamp(end) - pd.Timestamp(start)).days / D.PERIOD_DAYS
     weight = S.recency_weight((F.lit(1.0) - F.col("t")) * total_years, recency) if recency else None
     terms = design(F.col("day"), F.col("t"), harmonics)
-    made = solve(gram_sums(rows, terms, weight), len(terms), ridge)
-    return made.select("pixel_id", "band", "beta", F.log(F.greatest("variance", F.lit(1e-9))).alias("log_var"), "n")
+    used = terms[:1] if mode == "no_temporal" else terms
+    keys = ("band",) if mode == "no_spatial" else ("pixel_id", "band")
+    made = solve(gram_sums(rows, used, weight, keys), len(used), ridge, keys)
+    if mode == "no_spatial":
+        made = cube.select("pixel_id").distinct().crossJoin(F.broadcast(made))  # a row per band
+    if len(used) < len(terms):
+        made = made.withColumn("beta", F.concat("beta", F.array_repeat(F.lit(0.0), len(terms) - len(used))))
+    log_var = F.lit(0.0) if mode == "no_prob" else F.log(F.greatest("variance", F.lit(1e-9)))
+    return made.select("pixel_id", "band", "beta", log_var.alias("log_var"), "n")
 
 
 def wide_model(coef: DataFrame, n_bands: int) -> DataFrame:

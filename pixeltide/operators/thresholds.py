@@ -19,6 +19,17 @@ def sample_per_frame(scored: DataFrame, k: int = D.SAMPLES_PER_FRAME, seed: int
     return ranked.where(F.col("_place") <= k).drop("_place")
 
 
+def fixed_support_sample(scored: DataFrame, support: DataFrame, k: int = D.SAMPLES_PER_FRAME, seed: int = 42, frame: str = "acq_date", pixel: str = "pixel_id") -> DataFrame:
+    """Samples of valid pixels inside a given support (pixel, frame, support); a frame without a support is an error.
+
+    The digest holds the frame, so that the draws of different dates are independent.
+    """
+    if not scored.select(frame).distinct().join(support.select(frame).distinct(), frame, "left_anti").isEmpty():
+        raise ValueError("frame without support")
+    inside = support.where("support").select(frame, pixel)
+    return sample_per_frame(scored.where("valid").join(inside, [frame, pixel], "left_semi"), k, seed, frame, pixel)
+
+
 def date_quality(selected: DataFrame, min_valid: float = D.MIN_VALID_FRACTION, min_stable: int = D.MIN_STABLE_PIXELS, frame: str = "acq_date") -> DataFrame:
     """Per frame: pixel counts, valid fraction, accepted, and the reasons against it."""
     by = selected.groupBy(frame).agg(F.count("*").alias("pixel_count"), F.count_if("valid").alias("valid_pixels"), F.count_if("stable").alias("stable_pixels"))

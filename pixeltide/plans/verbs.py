@@ -29,6 +29,7 @@ class Config:
     recency: float = 0.0
     horizon_decay: float = 0.5
     use_log: bool = False
+    mode: str = "full"
     input_quality_screened: bool = False
     scales: tuple[tuple[int, int], ...] = D.CFAR_SCALES
     alpha: float = D.ALPHA
@@ -84,8 +85,8 @@ def train(cube: DataFrame, config: Config) -> tuple[dict, DataFrame]:
     bands = list(config.bands)
     if config.use_log:
         inside = inside.withColumns({b: F.log1p(b) for b in bands})
-    coef = B.fit(inside, bands, start, end, config.harmonics, config.ridge, config.recency)
-    meta = {"start": start, "end": end, "n_bands": len(bands), "bands": bands, "harmonics": config.harmonics, "mode": "full", "composite": D.COMPOSITE_TAG, "quality_screened": True, "use_log": config.use_log, "horizon_decay": config.horizon_decay}
+    coef = B.fit(inside, bands, start, end, config.harmonics, config.ridge, config.recency, mode=config.mode)
+    meta = {"start": start, "end": end, "n_bands": len(bands), "bands": bands, "harmonics": config.harmonics, "mode": config.mode, "composite": D.COMPOSITE_TAG, "quality_screened": True, "use_log": config.use_log, "horizon_decay": config.horizon_decay}
     return meta, coef
 
 

@@ -284,3 +284,39 @@ def test_sample_is_capped_and_repeatable(spark):
     a, b = (sorted(map(tuple, H.sample_per_frame(df.repartition(n), 7).collect())) for n in (1, 5))
     assert a == b and len(a) == 14
     assert H.sample_per_frame(df, 1000).count() == 100
+
+
+def test_planning(spark):
+    import base64
+
+    from pixeltide.functions import planning
+
+    assert planning.capacity_end("2020-01-01", 32, 2, 2.0) == "2020-03-05"
+    advice = planning.grid_advice(279, 279, 107)
+    assert (advice["spatial_log2"], advice["temporal_log2"], advice["hidden"]) == (19, 16, 64)
+    assert planning.grid_advice(5000, 5000, 10, memory_gb=8)["spatial_log2"] == 19
+    bits = np.random.default_rng(0).integers(0, 2, 45)
+    packed = base64.b64encode(np.packbits(bits).tobytes()).decode()
+    got = spark.range(45).select(planning.packed_bit(F.lit(packed), F.col("id")).alias("b")).collect()
+    assert [int(r["b"]) for r in got] == bits.tolist()
+
+
+def test_fixed_support(spark):
+    sc = spark.createDataFrame([(p, d, p % 2 == 0) for p in range(20) for d in (1, 2)], "pixel_id int, acq_date int, valid boolean")
+    support = sc.select("pixel_id", "acq_date", (F.col("pixel_id") < 10).alias("support"))
+    got = H.fixed_support_sample(sc, support, 3).collect()
+    assert len(got) == 6 and all(r["pixel_id"] < 10 and r["pixel_id"] % 2 == 0 for r in got)
+    with pytest.raises(Exception, match="without support"):
+        H.fixed_support_sample(sc, support.where("acq_date = 1")).collect()
+
+
+def test_correction_needs_coverage(spark):
+    from pixeltide.operators import baseline as B
+
+    base = spark.createDataFrame([(1, 0.4, 0.1), (2, 0.5, 0.1)], "pixel_id int, r_mean double, r_std double")
+    coef = [[0.01]] + [[0.0]] * 6
+    one = spark.createDataFrame([(1, coef, [0.02])], "pixel_id int, coef array<array<double>>, scale array<double>")
+    row = B.corrected(base.where("pixel_id = 1"), one, ["r"], F.lit(10)).first()
+    assert (row["r_mean"], row["r_std"]) == (pytest.approx(0.41), 0.02)
+    with pytest.raises(Exception, match="without correction"):
+        B.corrected(base, one, ["r"], F.lit(10)).collect()

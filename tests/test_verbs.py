@@ -159,3 +159,30 @@ def test_failing_batches_are_recorded(spark, cube, tmp_path):
     source = spark.readStream.schema(cube.schema).parquet(str(tmp_path / "in"))
     each_arrival(source, lambda df: df.select("nothing"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert "nothing" in spark.read.parquet(str(tmp_path / "out/errors")).first()["error"]
+
+
+@pytest.mark.parametrize("mode", ["no_spatial", "no_temporal", "no_prob"])
+def test_ablations(spark, cube, config, mode):
+    from dataclasses import replace
+
+    meta, coef = V.train(cube, replace(config, mode=mode))
+    rows = V.query_points(cube.where("pixel_id < 2"), meta, coef).collect()
+    assert meta["mode"] == mode and len(rows) == cube.where("pixel_id < 2").count()
+    if mode == "no_spatial":
+        assert len({round(r["r_mean"], 9) for r in rows}) == len(rows) / 2
+    if mode == "no_temporal":
+        assert len({round(r["r_mean"], 9) for r in rows}) == 2
+    if mode == "no_prob":
+        assert all(r["r_std"] > 0.9 for r in rows)
+    with pytest.raises(ValueError, match="mode"):
+        M.check_contract(meta, 2)
+
+
+def test_pictures(spark):
+    from pixeltide.sources import pictures
+
+    rows = spark.createDataFrame([(1, r, c, 0.1 * c, 0.2, 0.3, float(c), c == 3) for r in range(3) for c in range(4)], "acq_date int, row int, col int, x double, y double, z double, score double, mask boolean")
+    flat = tiff.read(bytes(pictures.single_band(rows, "score", 3, 5).first()["tiff"])).values
+    assert flat.shape == (3, 5, 1) and flat[1, 2, 0] == 2 and np.isnan(flat[0, 4, 0])
+    shown = tiff.read(bytes(pictures.overlay(rows, ["x", "y", "z"], 3, 5).first()["tiff"])).values
+    assert shown.shape == (3, 5, 3) and shown.dtype == np.uint8 and shown[0, 3, 0] > 200
