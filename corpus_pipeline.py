@@ -14,10 +14,14 @@ from pixeltide.llm.common import new_path
 from pixeltide.llm.queries import BYTE_VOCABULARY, vocabulary
 
 
+#: Share of its leading language below which a text counts as in none.
+LEAST_SHARE = 1 / 3
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or without a language that makes up half of them, go; all others stay unchanged."""
+    """Texts without letters, or in which no language has more than a third, go; all others stay unchanged."""
     model = language_id.train(docs.where(language_id.fold(F.col("doc_id")) != 0))
-    return language_id.filter_language(docs, model)
+    return language_id.filter_language(docs, model, low=LEAST_SHARE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

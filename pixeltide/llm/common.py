@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CREATED: dict[str, str] = {}
@@ -83,6 +83,28 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bits of a key filter: at most 2**18 rows of 64 bits, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """A one-hash Bloom filter as a table (word, bits) of fixed greatest size, written once."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, int(place % 64))")
+    words = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
+    return written(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+
+
+def split_by(df: DataFrame, key: Column, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key surely is not in the filter, and all others; only the latter need an exact join."""
+    place, word, bits = (fresh(c, df.columns) for c in ("filter_place", "filter_word", "filter_bits"))
+    placed = df.withColumn(place, F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)))
+    held = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    joined = placed.join(F.broadcast(held), F.shiftright(place, 6) == F.col(word), "left")
+    maybe = F.coalesce(F.expr(f"(shiftright({bits}, int({place} % 64)) & 1) = 1"), F.lit(False))
+    return joined.where(~maybe).select(*[F.col(f"`{c}`") for c in df.columns]), joined.where(maybe).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

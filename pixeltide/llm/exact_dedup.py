@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, fresh, written
+from pixeltide.llm.common import batch_of, fresh, key_filter, split_by, written
 
 #: Counters of a Misra-Gries summary; k+1 bounds the broadcast.
 COUNTERS = 1024
@@ -87,17 +87,20 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = COUNTERS) -> DataFrame:
     """The rows that stay, with all columns.
 
-    Copies of frequent texts go map-side, before any shuffle of texts; the rest is matched by (id, digest).
+    Copies of frequent texts go map-side, before any shuffle of texts.  Rows that a filter of fixed size tells from all
+    dropped ones stay without a shuffle; the rest is matched by (id, digest).
     """
     marked = Marked(docs, text_col, id_col, k)
     digest, kid, kdigest, keep = (fresh(c, docs.columns) for c in ("digest", "kept_id", "kept_digest", "winner"))
     rows = docs.withColumn(digest, digest_of(text_col))
     heavy = marked.heavy.select(F.col("digest").alias(kdigest), F.col("winner.id").alias(kid), F.lit(True).alias(keep))
     rows = rows.join(F.broadcast(heavy), F.col(digest) == F.col(kdigest), "left").where(F.col(keep).isNull() | F.col(id_col).eqNullSafe(F.col(kid))).select(*docs.columns, digest)
+    lost = key_filter(marked.rows.where("NOT kept"), F.struct("id", "digest"))
+    clear, rows = split_by(rows, F.struct(F.col(id_col), F.col(digest)), lost)
     one = marked.rows.where("kept").select(F.col("id").alias(kid), F.col("digest").alias(kdigest))
     same = F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(digest) == F.col(kdigest))
     again = written(marked.rows.where("NOT kept AND id <=> keep_id").select(F.col("id").alias(kid), F.col("digest").alias(kdigest)).distinct(), "repeated")
     if not again.isEmpty():
         repeated = rows.join(again, same, "left_semi").dropDuplicates([id_col, digest])
         rows = rows.join(again, same, "left_anti").unionByName(repeated)
-    return rows.join(one, same, "left_semi").select(*docs.columns)
+    return clear.unionByName(rows.join(one, same, "left_semi")).select(*docs.columns)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, fresh, slices, written
+from pixeltide.llm.common import batch_of, free_shuffles, fresh, key_filter, slices, split_by, written
 from pixeltide.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -260,8 +260,12 @@ def _small_pairs(run: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tu
 SMALL = 24
 
 
-def _pairs(radius: int, run: int):
-    """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node)."""
+def _pairs(radius: int, run: int, masks: list[int]):
+    """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node).
+
+    A pair that agrees under several masks comes from the first of them only.
+    """
+    table = np.array(masks, np.int64).view(np.uint64)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("over", pa.bool_())])
 
     def pairs_of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -276,7 +280,11 @@ def _pairs(radius: int, run: int):
             x, y = _near_pairs(fps[s : s + n], radius)
             a.append(x + s)
             b.append(y + s)
-        left, right = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
+        a, b = np.concatenate(a), np.concatenate(b)
+        differ, own, first = fps[a] ^ fps[b], keys[a, 0], np.ones(len(a), bool)
+        for m in range(int(own.max(initial=0))):
+            first &= (m >= own) | ((differ & table[m]) != 0)
+        left, right = nodes[a[first]], nodes[b[first]]
         low, high = np.minimum(left, right), np.maximum(left, right)
         return batch_of(schema, low, high, np.zeros(len(low), bool))
 
@@ -317,7 +325,7 @@ def candidate_pairs(nodes: DataFrame, radius: int, run: int = RUN, masks: list[i
     def search(rows: DataFrame, masks: list[int], run: int) -> DataFrame:
         keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
         probes = rows.select(keys, "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
-        return probes.mapInArrow(_pairs(radius, run), "a bigint, b bigint, over boolean")
+        return probes.mapInArrow(_pairs(radius, run, masks), "a bigint, b bigint, over boolean")
 
     found = written(search(nodes, masks, run), "pairs")
     out = found.where("NOT over").select("a", "b")
@@ -381,7 +389,9 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int
     """The pairs whose texts share at least ``least`` of their shingles; only texts that stand in a pair are read on."""
     some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(some, "node", "left_semi")
+    some = written(some, "nodes")
+    _, maybe = split_by(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), F.col("node"), key_filter(some, F.col("node")))
+    texts = maybe.join(some, "node", "left_semi")
     sets = written(texts.mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
@@ -504,8 +514,12 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     same_row = (F.col("id").eqNullSafe(F.col(kid))) & (F.col("content") == F.col(kcontent))
     again = written(found.rows.join(keep, same_row, "left_semi").groupBy("id", "content").count().where("count > 1").select(F.col("id").alias(kid), F.col("content").alias(kcontent)), "again")
     rows = docs.withColumn(content, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    lost = found.rows.join(keep, same_row, "left_anti").select("id", "content")
+    lost = lost.unionByName(again.select(F.col(kid).alias("id"), F.col(kcontent).alias("content")))
+    clear, rows = split_by(rows, F.struct(F.col(id_col).cast("bigint"), F.col(content)), key_filter(lost, F.struct("id", "content")))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col(kid)) & (F.col(content) == F.col(kcontent))
     kept = rows.join(keep, same, "left_semi")
     if not again.isEmpty():
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, content]))
-    return kept.select(*docs.columns)
+    free_shuffles(docs.sparkSession)
+    return clear.unionByName(kept).select(*docs.columns)
