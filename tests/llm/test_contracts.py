@@ -176,6 +176,12 @@ def test_op2(spark, sf_dir, docs):
         assert set(filter(None, got[i]["families"].split(","))) == want, d["text"][-200:]
 
 
+def find(root, i):
+    while root[i] != i:
+        i = root[i]
+    return i
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline as P
 
@@ -191,7 +197,18 @@ def test_pipeline(spark, sf_dir, docs):
     for r in seen["language_id"]:
         last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in seen["exact_dedup"]) == sorted(last.values())
-    assert len(seen["near_dedup"]) <= len(seen["exact_dedup"])
+    texts = {r["doc_id"]: r["text"] for r in seen["exact_dedup"]}
+    cut = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.encode().lower().split()]}
+    alike = {(i, j): len(cut[i] & cut[j]) / len(cut[i] | cut[j]) for i in cut for j in cut if i < j and cut[i] & cut[j]}
+    root = {i: i for i in cut}
+    for (i, j), s in sorted(alike.items()):
+        if s >= 0.8:
+            a, b = sorted((find(root, i), find(root, j)))
+            root[b] = a
+    kept = {r["doc_id"] for r in seen["near_dedup"]}
+    assert all(find(root, i) in kept | {find(root, k) for k in kept} for i in cut)  # every group keeps a document
+    assert all(i in kept for i in cut if sum(find(root, j) == find(root, i) for j in cut) == 1)  # unlike texts stay
+    assert not any(s >= 0.9 and i in kept and j in kept for (i, j), s in alike.items())
     assert {r["doc_id"] for r in seen["near_dedup"]} <= set(last.values())
     assert {r["doc_id"] for r in seen["mixing"]} <= {r["doc_id"] for r in seen["near_dedup"]}
     final = P.run(spark, sf_dir)
