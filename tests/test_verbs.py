@@ -186,3 +186,49 @@ def test_pictures(spark):
     assert flat.shape == (3, 5, 1) and flat[1, 2, 0] == 2 and np.isnan(flat[0, 4, 0])
     shown = tiff.read(bytes(pictures.overlay(rows, ["x", "y", "z"], 3, 5).first()["tiff"])).values
     assert shown.shape == (3, 5, 3) and shown.dtype == np.uint8 and shown[0, 3, 0] > 200
+
+
+@pytest.mark.parametrize("kind,tolerance", [("float32", 0), ("float16", 1e-3), ("int16", 1e-4), ("int8", 2e-2)])
+def test_containers(spark, tmp_path, kind, tolerance):
+    from pixeltide.sources import container as K
+
+    w = np.random.default_rng(0).normal(size=50).astype(np.float32)
+    data = K.weights_file(w, {"n_bands": 3}, kind)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "m.bin").write_bytes(K.with_profile(data, {"alpha": 0.01}))
+    row = K.read_weights(spark, str(tmp_path / "w")).first()
+    assert np.allclose(row["weights"], w, atol=max(tolerance, 1e-9) * max(1, np.abs(w).max()))
+    assert json.loads(row["header"])["empirical_null_profile"] == {"alpha": 0.01}
+    assert K.split(data)[1] == K.split(K.with_profile(data, {}))[1]
+    with pytest.raises(ValueError, match="expected"):
+        K.weights_of(data, 49)
+    with pytest.raises(ValueError, match="too short"):
+        K.split(data[:-1])
+    r = np.random.default_rng(1).normal(0, 0.1, (2, 3, 4, 2)).astype(np.float32)
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "r.bin").write_bytes(K.residual_file(r, {}, kind))
+    got = {(x["frame_id"], x["pixel_id"]): x["residual"] for x in K.read_residuals(spark, str(tmp_path / "r")).collect()}
+    assert len(got) == 24 and np.allclose([got[t, p] for t in range(2) for p in range(12)], r.reshape(24, 2), atol=6e-3 if kind == "int8" else 1e-3)
+
+
+def test_command_line(spark, cube, tmp_path):
+    from pixeltide import cli
+
+    cube.write.parquet(str(tmp_path / "cube"))
+    (tmp_path / "c.yaml").write_text(f"bands: [r, n]\nheight: {H}\nwidth: {W}\ninput_quality_screened: true\nmin_stable_pixels: 60\nstate_source: observation\nloss: nll\nharmonics: 2\n")
+    base = ["--cube", str(tmp_path / "cube"), "--config", str(tmp_path / "c.yaml")]
+    assert cli.main(["train", *base, "--out", str(tmp_path / "m")]) == 0
+    assert cli.main(["calibrate", *base, "--model", str(tmp_path / "m")]) == 0
+    assert cli.main(["detect", *base, "--model", str(tmp_path / "m"), "--out", str(tmp_path / "o")]) == 0
+    days = cube.select("acq_date").distinct().count()
+    lines = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "o" / "alerts")).collect()]
+    assert len(lines) == days and {x["type"] for x in lines} <= {"anomaly", "no_anomaly"}
+    assert spark.read.json(str(tmp_path / "o" / "summary")).first()["scenes"] == days
+
+
+def test_input_messages(spark):
+    from pixeltide.functions import masks
+
+    df = spark.createDataFrame([(0, 3, 2, "d"), (5, 2, 2, "d"), (5, 3, 1, "d"), (5, 3, 2, None), (5, 3, 2, "d")], "n int, dims int, bands int, d string")
+    got = [r[0] for r in df.select(masks.input_message(F.col("n"), F.col("dims"), F.col("bands"), 2, F.col("d"))).collect()]
+    assert got == ["empty image", "image must have three dimensions", "expected 2 bands", "missing acquisition date", None]
