@@ -81,10 +81,10 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor positions, their hashes, and the first and last window start that each serves.
 
-    ``room``: bytes from each position to the end of its document; windows that would leave it do not count.
+    ``ends``: where each document ends; windows that would leave theirs do not count.
     """
     parts = []
     span = length - gram + 1
@@ -98,12 +98,15 @@ def anchors(data: np.ndarray, room: np.ndarray, length: int = LENGTH, gram: int
             width *= 2
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        inside = np.flatnonzero(room[c : c + len(low)] >= length)
+        some = ends[np.searchsorted(ends, c, side="right") : np.searchsorted(ends, c + len(low) - 1, side="right") + 1]
+        upto = np.minimum(some, c + len(low))
+        room = np.repeat(some, np.diff(upto, prepend=c)) - np.arange(c, c + len(low))
+        inside = np.flatnonzero(room >= length)
         at = (low[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         turn = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(turn[1:], len(at)) - 1
+        stop = np.append(turn[1:], len(at)) - 1
         if len(turn):
-            parts.append((at[turn] + c, h[at[turn]], inside[turn] + c, inside[ends] + c))
+            parts.append((at[turn] + c, h[at[turn]], inside[turn] + c, inside[stop] + c))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none
@@ -253,8 +256,7 @@ class Slice:
         self.ends = np.cumsum(self.sizes)
         self.raw, self.length = unpacked(row["data"]), length
         self.data = np.frombuffer(self.raw, np.uint8)
-        room = np.repeat(self.ends, self.sizes) - np.arange(len(self.data))
-        self.at, h, self.first, self.last = anchors(self.data, room, length, gram)
+        self.at, h, self.first, self.last = anchors(self.data, self.ends, length, gram)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
         self.key_bits = 40
         value = h >> np.uint64(64 - self.key_bits - buckets.bit_length() + 1)

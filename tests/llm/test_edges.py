@@ -405,6 +405,20 @@ def test_suffix_dedup_of_woven_passages(spark, seed):
     same(got, [(i, *w) for (i, _), w in zip(docs, slow_repeats([(i, t.encode()) for i, t in docs]), strict=True)])
 
 
+@pytest.mark.parametrize("chunk", [60, 1000, 1 << 20])
+def test_anchors_serve_every_window_once(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    r = np.random.default_rng(0)
+    docs = [r.integers(97, 100, n, dtype=np.uint8).tobytes() for n in (0, 10, 49, 50, 51, 3000, 0, 0, 2500, 70, 1100, 5)]
+    ends, data = np.cumsum([len(d) for d in docs]), np.frombuffer(b"".join(docs), np.uint8)
+    at, h, first, last = suffix_dedup.anchors(data, ends)
+    served = [(p, a - p, x) for a, x, f, z in zip(at.tolist(), h.tolist(), first.tolist(), last.tolist(), strict=True) for p in range(f, z + 1)]
+    starts = ends - [len(d) for d in docs]
+    assert [p for p, *_ in served] == [p for s, d in zip(starts.tolist(), docs, strict=True) for p in range(s, s + len(d) - 49)]
+    whole = suffix_dedup.anchors(np.frombuffer(docs[5], np.uint8), np.array([3000]))
+    assert [(o, x) for p, o, x in served if starts[5] <= p < ends[5]] == [(a - p, x) for a, x, f, z in zip(*(v.tolist() for v in whole), strict=True) for p in range(f, z + 1)]
+
+
 @pytest.mark.parametrize("shallow", [0, 8, 24])
 def test_suffixes_are_sorted(shallow):
     r = random.Random(shallow)
