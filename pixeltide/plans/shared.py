@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,9 +23,10 @@ def folder(spark: SparkSession) -> str:
 
 
 def _clear(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def settled(df: DataFrame, name: str = "table") -> DataFrame:
