@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, slices
+from pixeltide.llm.common import batch_of, bounded_batches, slices
 from pixeltide.llm.word_memory import broadcast_model
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
@@ -246,7 +246,7 @@ def _round_trip(model):
 
 
 def _rows(docs: DataFrame, id_col: str, column: str, name: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).alias(name))
+    return bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(column).alias(name))
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 _CREATED: dict[str, str] = {}
 
 #: Text handled at once by a Python worker; a single longer document is still handled whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker; both hold whole batches.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete_path(spark, path)
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        if spark.sparkContext._jsc is not None:
+            delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -87,6 +92,21 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
 FILTER_BITS = 24
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's limit on Arrow batches to ``BATCH_BYTES`` if it is higher; texts vary too much for a row limit."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name, "64m")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(text: str) -> int:
+    """A size setting in bytes; zero and below stand for no limit."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", text.strip().lower())
+    n = int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else 0
+    return n if n > 0 else 1 << 62
+
+
 def key_filter(keys: DataFrame, key: Column) -> DataFrame:
     """A one-hash Bloom filter as a table (word, bits) of fixed greatest size, written once."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, slices
+from pixeltide.llm.common import batch_of, bounded_batches, slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
@@ -97,7 +97,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = SMOOTHING) -> LanguageModel:
     """Learn from every row that has both a text and a language."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = bounded_batches(docs).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sums = rows.mapInArrow(_learn, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     sums = sums.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # BUCKETS cells at most
     found: dict[str, np.ndarray] = {}
@@ -217,7 +217,7 @@ PREDICTED = "id bigint, lang_pred string, score double, n_languages int, shares
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, lang_pred, score, n_languages, shares: one row per input row, from the text alone."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(broadcast), PREDICTED)
+    return bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_predict(broadcast), PREDICTED)
 
 
 def _accept(broadcast, text_col: str, low: float):
@@ -237,7 +237,7 @@ def _accept(broadcast, text_col: str, low: float):
 def filter_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", low: float = 0.5) -> DataFrame:
     """The rows, all columns kept, whose text has letters and a language with a share of ``low`` or more."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accept(broadcast, text_col, low), docs.schema)
+    return bounded_batches(docs).mapInArrow(_accept(broadcast, text_col, low), docs.schema)
 
 
 def fold(key: Column, folds: int = 5) -> Column:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, free_shuffles, fresh, key_filter, slices, split_by, written
+from pixeltide.llm.common import batch_of, bounded_batches, free_shuffles, fresh, key_filter, slices, split_by, written
 from pixeltide.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -103,7 +103,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """id, content (a hash of the text that tells rows of one id apart) and fp, the 64 bits as a signed number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
     return rows.mapInArrow(_fingerprints(shingle), "id bigint, content bigint, fp bigint")
 
 

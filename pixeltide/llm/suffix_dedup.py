@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, free_shuffles, release, written
+from pixeltide.llm.common import batch_of, bounded_batches, free_shuffles, release, written
 
 LENGTH, GRAM = 50, 24
 SLICE = 1 << 20
@@ -490,7 +490,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if not 8 <= gram <= length <= 250:
         raise ValueError("8 <= gram <= length <= 250")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"))
     slices = written(rows.mapInArrow(_cut(slice_bytes), SLICES), "slices")
     total = slices.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
     buckets = bucket_count(total, gram, length)

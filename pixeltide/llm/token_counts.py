@@ -29,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, slices
+from pixeltide.llm.common import batch_of, bounded_batches, slices
 from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
 
 CHUNK, OVERLAP, GUARD = 32_768, 512, 64
+#: Text split into words at once.
+TEXT_BYTES = 8 << 20
 SPACES = " \t\n\r\x0b\x0c"
 
 
@@ -85,7 +87,7 @@ def _count(model, chunk: int, overlap: int, guard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, encoder = tokenizer_of(model.value), encoder_of(model.value)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 texts = part.column("text")
                 huge = pc.greater(pc.fill_null(pc.utf8_length(texts), 0), chunk)
                 counts = encoder.count(pc.if_else(huge, "", texts))
@@ -99,6 +101,6 @@ def _count(model, chunk: int, overlap: int, guard: int):
 def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP, guard: int = GUARD) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit."""
     model = broadcast_model(docs.sparkSession, model_path)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_count(model, chunk, overlap, guard), "id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, new_path, slices, written
+from pixeltide.llm.common import batch_of, bounded_batches, new_path, slices, written
 from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
 
 MAX_LENGTH = 20
@@ -217,7 +217,7 @@ def _pack(book_bytes, block_tokens: int, width: str):
 def write_token_store(docs: DataFrame, path: str, model_path: str, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text, append ``end_id``, and write the files below ``path``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     width = "<u2" if max(end_id, tokenizer_of(open(model_path, encoding="utf-8").read()).get_vocab_size() - 1) < 65536 else "<u4"
     tokenised = written(rows.mapInArrow(_tokenise(broadcast_model(spark, model_path), end_id, width), "id bigint, ids binary, counts binary"), "tokens")
     tokens = tokenised.where("ids IS NOT NULL").select("id", "ids")

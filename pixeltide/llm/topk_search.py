@@ -3,7 +3,7 @@
 Components become integers floor(256 x), so scores are exact.  The second-moment matrix of all vectors (summed per
 task) gives the rotation whose leading coordinates hold most of every product.  Vectors are range-partitioned and
 sorted by descending length and written once.  Queries - a stated set of rows - go through in blocks of
-``QUERY_BLOCK``, each broadcast (its size is fixed); a task reads its vectors longest first and keeps the k best of
+``QUERY_BLOCK`` or ``QUERY_BYTES`` at most, each broadcast; a task reads its vectors longest first and keeps the k best of
 each query:
 
 * |q| |x| below the k-th best score: that query is done with this task, as all later vectors are shorter;
@@ -33,6 +33,8 @@ from pixeltide.llm.common import batch_of, empty, written
 
 SCALE, K = 256, 5
 QUERY_BLOCK, HEAD = 4096, 2048
+#: Most bytes of a block's vectors, which bounds the broadcast whatever their dimension.
+QUERY_BYTES = 32 << 20
 #: Vectors scored at once; scores of a block of queries against them bound a task's memory.
 VECTOR_BLOCK = 1024
 HEAD_SHARE = 0.9
@@ -69,10 +71,11 @@ def _moments(dim: int):
 def rotation(vectors: DataFrame, dim: int) -> tuple[np.ndarray, int]:
     """Right singular vectors of all rows, and how many leading ones hold ``HEAD_SHARE`` of the squared length."""
     parts = vectors.select("v").mapInArrow(_moments(dim), "i int, row array<double>")
-    parts = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # dim * dim
+    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    rows = sums.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("r")).select("i", "r.x").collect()  # a row per dimension
     total = np.zeros((dim, dim))
-    for r in parts:
-        total[r["i"], r["j"]] = r["x"]
+    for r in rows:
+        total[r["i"]] = r["x"]
     values, basis = np.linalg.eigh((total + total.T) / 2)
     order = np.argsort(-values)
     values, basis = np.maximum(values[order], 0), basis[:, order]
@@ -206,7 +209,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, vector_col: str = "emb
         longest = alike.orderBy(F.desc("length"), "id").limit(HEAD).collect()
         head_ids = np.array([r["id"] for r in longest], np.int64)
         head_x = np.array([r["v"] for r in longest], np.float64).reshape(len(longest), dim)
-        for rows in _query_blocks(queries.where(F.size("v") == dim), block):
+        for rows in _query_blocks(queries.where(F.size("v") == dim), max(1, min(block, QUERY_BYTES // (16 * dim)))):
             made = Queries(np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim), basis, head, k)
             if len(longest):
                 first = Best(made)
