@@ -20,8 +20,10 @@ Search over distinct fingerprints, all counts from all of them:
 With ``similarity`` a link also needs that share of common shingles (Jaccard), so that a wide radius - ``radius_for`` gives
 the one at which half the pairs of that similarity are expected - finds similar texts without joining others.  Nodes are
 then distinct texts; the candidate pairs of a bucket are compared exactly.  A bucket with more than ``DENSE`` pairs per
-member, as a large group of near copies makes it, sends for each member the pair with its nearest and with the member of
-most neighbours; members of an oversized bucket are dealt out again by the bits the bucket left open.
+member that no earlier mask has, as a large group of near copies makes it, sends its members as a crowd: their shingles
+meet in one task, which tries the nearest and the member of most neighbours first and then every pair not yet connected,
+and sends a spanning forest of the links verified.  Crowds of more than ``CROWD_BYTES`` of shingles meet block by block.
+Members of an oversized bucket are dealt out again by the bits the bucket left open.
 
 Defined cases: null text counts as empty; no words give fingerprint 0, linked like any other; a null id never is a
 component's id unless all its ids are null; repeated rows share a fingerprint and a component; an empty table gives an
@@ -46,6 +48,10 @@ from pixeltide.llm.components import components
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 RUN = 16_384
 DENSE = 8
+#: Bytes of shingles of one block of a crowd; a task holds two.
+CROWD_BYTES = 8 << 20
+#: Rows of the candidate search: a pair of nodes, (mask, node) of an oversized bucket, (crowd, node).
+PAIR, OVER, CROWD = 0, 1, 2
 #: Bytes of one text cut into words at a time.
 PIECE = 4 << 20
 #: Relative cost of shuffling one probe and of comparing one pair.
@@ -247,6 +253,30 @@ def _near_pairs(fps: np.ndarray, radius: int, dense: int = DENSE) -> tuple[np.nd
     return np.concatenate([linked, near_hub]), np.concatenate([nearest[linked], np.full(len(near_hub), hub)])
 
 
+def _new_pairs(fps: np.ndarray, radius: int, earlier: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of the pairs within ``radius`` that agree under none of the masks ``earlier``; None if there are over ``most``."""
+    n, a, b, found = len(fps), [], [], 0
+    step = max(1, (1 << 21) // n)
+    for i in range(0, n, step):
+        differ = fps[i : i + step, None] ^ fps[None, i:]
+        x, y = np.nonzero(np.bitwise_count(differ) <= radius)
+        x, y = x[y > x], y[y > x]
+        first = _agree_under_none(differ[x, y], earlier)
+        a.append(x[first] + i)
+        b.append(y[first] + i)
+        found += len(a[-1])
+        if found > most:
+            return None
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _agree_under_none(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    out = np.ones(len(differ), bool)
+    for m in masks:
+        out &= (differ & m) != 0
+    return out
+
+
 def _small_pairs(run: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs within ``radius`` in runs of at most ``most`` members, for all runs at once."""
     a, b = [], []
@@ -260,33 +290,38 @@ def _small_pairs(run: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tu
 SMALL = 24
 
 
-def _pairs(radius: int, run: int, masks: list[int]):
-    """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node).
+def _pairs(radius: int, run: int, masks: list[int], dense: float, number: int):
+    """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node); a
+    run of more than ``dense`` pairs a member as (crowd, node).
 
-    A pair that agrees under several masks comes from the first of them only.
+    A pair that agrees under several masks comes from the first of them only, whose run holds it in one of these ways.
     """
     table = np.array(masks, np.int64).view(np.uint64)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("over", pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
 
-    def pairs_of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    def pairs_of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (keys[1:] != keys[:-1]).any(1))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(fps)))
         small = np.repeat(sizes <= SMALL, sizes)
         places = np.flatnonzero(small)
         x, y = _small_pairs((np.cumsum(new) - 1)[places], fps[places], radius, SMALL)
-        a, b = [places[x]], [places[y]]
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            x, y = _near_pairs(fps[s : s + n], radius)
-            a.append(x + s)
-            b.append(y + s)
-        a, b = np.concatenate(a), np.concatenate(b)
-        differ, own, first = fps[a] ^ fps[b], keys[a, 0], np.ones(len(a), bool)
+        x, y = places[x], places[y]
+        differ, own, first = fps[x] ^ fps[y], keys[x, 0], np.ones(len(x), bool)
         for m in range(int(own.max(initial=0))):
             first &= (m >= own) | ((differ & table[m]) != 0)
-        left, right = nodes[a[first]], nodes[b[first]]
+        a, b = [x[first]], [y[first]]
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            found = _new_pairs(fps[s : s + n], radius, table[: keys[s, 0]], dense * n)
+            if found is None:
+                crowd = np.array([xxhash.xxh64_intdigest(keys[s].tobytes(), number)], np.uint64).view(np.int64)
+                yield batch_of(schema, np.repeat(crowd, n), nodes[s : s + n], np.full(n, CROWD, np.int32))
+            else:
+                a.append(found[0] + s)
+                b.append(found[1] + s)
+        left, right = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
         low, high = np.minimum(left, right), np.maximum(left, right)
-        return batch_of(schema, low, high, np.zeros(len(low), bool))
+        yield batch_of(schema, low, high, np.full(len(low), PAIR, np.int32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, nodes, flowing = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
@@ -296,7 +331,7 @@ def _pairs(radius: int, run: int, masks: list[int]):
             if flowing is not None:
                 other = (keys != flowing).any(1)
                 n = int(other.argmax()) if other.any() else len(keys)
-                yield batch_of(schema, keys[:n, 0], nodes[:n], np.ones(n, bool))
+                yield batch_of(schema, keys[:n, 0], nodes[:n], np.full(n, OVER, np.int32))
                 keys, fps, nodes = keys[n:], fps[n:], nodes[n:]
                 if not len(keys):
                     continue
@@ -304,37 +339,42 @@ def _pairs(radius: int, run: int, masks: list[int]):
             differs = (keys != keys[-1]).any(1)
             last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
             if last:
-                yield pairs_of(keys[:last], fps[:last], nodes[:last])
+                yield from pairs_of(keys[:last], fps[:last], nodes[:last])
                 keys, fps, nodes = keys[last:], fps[last:], nodes[last:]
             if len(keys) > run:
-                yield batch_of(schema, keys[:, 0], nodes, np.ones(len(keys), bool))
+                yield batch_of(schema, keys[:, 0], nodes, np.full(len(keys), OVER, np.int32))
                 flowing, keys, fps, nodes = keys[-1], keys[:0], fps[:0], nodes[:0]
         if len(keys):
-            yield pairs_of(keys, fps, nodes)
+            yield from pairs_of(keys, fps, nodes)
 
     return work
 
 
 def candidate_pairs(nodes: DataFrame, radius: int, run: int = RUN, masks: list[int] | None = None) -> DataFrame:
-    """Pairs (a, b) of ``node``, a < b, whose ``fp`` are within ``radius``."""
+    """All pairs (a, b) of ``node``, a < b, whose ``fp`` are within ``radius``."""
+    return candidates(nodes, radius, run, masks, float("inf"))[0]
+
+
+def candidates(nodes: DataFrame, radius: int, run: int = RUN, masks: list[int] | None = None, dense: float = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``node``, a < b, and crowds (crowd, node): two within ``radius`` are a pair or stand in one crowd."""
     spark, total = nodes.sparkSession, nodes.count()
     if total < 2:
-        return spark.createDataFrame([], "a bigint, b bigint")
+        return spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "crowd bigint, node bigint")
     masks = masks or layout(nodes, total, radius)
 
-    def search(rows: DataFrame, masks: list[int], run: int) -> DataFrame:
+    def search(rows: DataFrame, masks: list[int], run: int, number: int) -> DataFrame:
         keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
         probes = rows.select(keys, "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
-        return probes.mapInArrow(_pairs(radius, run, masks), "a bigint, b bigint, over boolean")
+        return written(probes.mapInArrow(_pairs(radius, run, masks, dense, number), "a bigint, b bigint, kind int"), "pairs")
 
-    found = written(search(nodes, masks, run), "pairs")
-    out = found.where("NOT over").select("a", "b")
-    full = found.where("over").select(F.col("a").cast("int").alias("mask"), F.col("b").alias("node"))
+    found = out = search(nodes, masks, run, 0)
+    full = found.where(F.col("kind") == OVER).select(F.col("a").cast("int").alias("mask"), F.col("b").alias("node"))
     for (number,) in full.select("mask").distinct().orderBy("mask").collect():  # at most one per mask
         members = nodes.join(full.where(F.col("mask") == number).select("node"), "node", "left_semi")
         rest = [b for b in range(BITS) if not masks[number] >> b & 1]
-        out = out.unionByName(search(members, [masks[number] | m for m in complement_masks(rest, radius)], 1 << 62).where("NOT over").select("a", "b"))
-    return out.where("a <> b").distinct()
+        out = out.unionByName(search(members, [masks[number] | m for m in complement_masks(rest, radius)], 1 << 62, number + 1))
+    pairs = out.where((F.col("kind") == PAIR) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    return pairs, out.where(F.col("kind") == CROWD).select(F.col("a").alias("crowd"), F.col("b").alias("node"))
 
 
 def complement_masks(bits: list[int], radius: int) -> list[int]:
@@ -385,16 +425,94 @@ def _similar(least: float):
     return run
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
-    """The pairs whose texts share at least ``least`` of their shingles; only texts that stand in a pair are read on."""
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect what all links of a crowd do: only pairs that are connected already go untried."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sets = [tokens[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark, label, a, b = np.zeros(len(tokens), bool), np.arange(len(fps)), [], []
+
+    def connect(i: int, others: np.ndarray) -> None:
+        fits = np.minimum(sizes[others], sizes[i]) >= least * np.maximum(np.maximum(sizes[others], sizes[i]), 1) - 1e-6
+        others = others[fits & (label[others] != label[i])]
+        if not len(others):
+            return
+        mark[sets[i]] = True
+        for j in others.tolist():
+            if label[j] == label[i]:
+                continue
+            common = np.count_nonzero(mark[sets[j]])
+            if common >= least * max(1, int(sizes[i] + sizes[j]) - common):
+                label[label == label[j]] = label[i]
+                a.append(i)
+                b.append(j)
+        mark[sets[i]] = False
+
+    x, y = _near_pairs(fps, radius)
+    by = np.argsort(y, kind="stable")
+    x, y = x[by], y[by]
+    cuts = np.flatnonzero(y[1:] != y[:-1]) + 1
+    for some, to in zip(np.split(x, cuts), y[np.append(0, cuts)] if len(y) else [], strict=False):
+        connect(int(to), some)
+    for i in range(len(fps) - 1):
+        connect(i, i + 1 + np.flatnonzero((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) & (label[i + 1 :] != label[i])))
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _crowd_links(radius: int, least: float):
+    """Streams rows sorted by (crowd, low, high), one run for each two blocks of a crowd."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links_of(rows: list) -> pa.RecordBatch:
+        nodes, fps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        a, b = verified_forest(fps, [np.frombuffer(r[2], "<u8") for r in rows], radius, least)
+        return batch_of(schema, nodes[a], nodes[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("crowd", "low", "high", "node", "fp", "hashes")]
+            for *key, node, fp, hashes in zip(*columns, strict=True):
+                if key != at:
+                    if held:
+                        yield links_of(held)
+                    held, at = [], key
+                held.append((node, fp, hashes))
+        if held:
+            yield links_of(held)
+
+    return run
+
+
+def crowd_links(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, least: float, block: int = CROWD_BYTES) -> DataFrame:
+    """Links (a, b) that connect all members of a crowd within ``radius`` and with a share of ``least`` common shingles."""
+    parts = F.greatest(F.lit(1), F.ceil(F.sum(F.col("bytes") + 64) / block)).cast("int")
+    sized = crowds.join(sets.select("node", "bytes"), "node").groupBy("crowd").agg(parts.alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = crowds.join(sized, "crowd").select("crowd", "node", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = placed.where((F.col("parts") == 1) | (F.col("own") != F.col("other")))
+    placed = placed.select("crowd", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = placed.join(nodes.select("node", "fp"), "node").join(sets.select("node", "hashes"), "node")
+    rows = rows.repartition("crowd", "low", "high").sortWithinPartitions("crowd", "low", "high", "fp", "node")
+    return rows.mapInArrow(_crowd_links(radius, least), "a bigint, b bigint")
+
+
+def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, radius: int, least: float) -> DataFrame:
+    """The pairs, and links for those of the crowds, whose texts share at least ``least`` of their shingles; only texts that
+    stand in a pair or crowd are read on."""
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = written(some, "nodes")
     _, maybe = split_by(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), F.col("node"), key_filter(some, F.col("node")))
     texts = maybe.join(some, "node", "left_semi")
-    sets = written(texts.mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    made = texts.mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets = written(made.withColumn("bytes", F.length("hashes").cast("bigint")), "sets")
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
+    alone = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
+    if crowds.isEmpty():
+        return alone
+    return alone.unionByName(crowd_links(crowds, nodes, sets, radius, least))
 
 
 def _verify(radius: int, run: int, linked: bool):
@@ -486,8 +604,8 @@ class NearDuplicates:
         keeper = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("keeper")
         distinct = written(self.rows.groupBy("node", "fp").agg(keeper), "distinct")
         if similarity:
-            pairs = written(candidate_pairs(distinct.select("node", "fp"), radius, run), "candidates")
-            joined = similar_pairs(pairs, docs, text_col, shingle, similarity)
+            pairs, crowds = candidates(distinct.select("node", "fp"), radius, run)
+            joined = similar_pairs(written(pairs, "candidates"), crowds, distinct, docs, text_col, shingle, radius, similarity)
         else:
             joined = links(distinct.select("fp"), radius, run)
         roots = written(components(joined), "roots").withColumnRenamed("node", "member")
