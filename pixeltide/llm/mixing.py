@@ -5,8 +5,9 @@ all words by weight, but no source gets more than ``max_ratio`` times its own, t
 weight (water-filling: sort by cap over weight, one running sum).  A source with target/size = w + f takes w certain
 copies of every document.  The rest, f of its words, is an unequal-probability sample without replacement: documents
 are ranked by Pareto's key, random odds U/(1-U) over inclusion odds, and the first of them are taken while their words
-fit; then, up to ``FILL_ROUNDS`` times, the largest other document that still fits, and at last the one whose size is
-nearest to the words still missing.
+fit; then the largest other document that still fits, again and again until none fits, and at last the one whose size is
+nearest to the words still missing.  A round takes every document of the largest sizes that fit whole, and of the next
+size as many as fit, in the order of ranks: it more than halves the words missing, so rounds grow with their logarithm.
 
 The running sum over ranks never gathers a source: keys fall into ``BUCKETS`` monotone buckets, whose word sums are
 added up; only documents of the one bucket where the target falls are ordered one by one.  The outcome is one small
@@ -30,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MAX_RATIO = 3
 SEED = "mix"
 BUCKETS = 4096
+#: Documents after the ranked prefix in the SQL of ``op6_mixing``, which cannot loop; the operator fills on until none fits.
 FILL_ROUNDS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of sources up to so many rows is broadcast; a larger one is joined by a shuffle.
@@ -99,7 +101,7 @@ class Mix:
         keyed = _keyed(rows, self.cuts)
         at = F.struct("q", "key")
         inside = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(at <= F.col("last"), F.lit(False)))
-        chosen = F.coalesce(inside | F.array_contains("extras", at), F.lit(False)) & F.col("q").isNotNull()
+        chosen = F.coalesce(inside | _extra(at), F.lit(False)) & F.col("q").isNotNull()
         return keyed.withColumn("copies", F.col("whole") + chosen.cast("int"))
 
     def per_document(self) -> DataFrame:
@@ -115,7 +117,8 @@ class Mix:
 
 
 def _cut_offs(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source: edge (bucket of the last rank taken), last (its key), extras (keys of the documents that close the gap)."""
+    """Per source: edge (bucket of the last rank taken), last (its key), extras (what closes the gap: the sizes
+    from ``least`` to ``most``, and of size ``part`` the ranks up to ``last``)."""
     live = keyed.where("q IS NOT NULL")
     sums = live.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
@@ -130,32 +133,77 @@ def _cut_offs(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     ranked = near.where("bucket = edge").withColumn("run", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key")))
     fits = ranked.where("run <= wanted").groupBy("source").agg(F.max(F.struct("q", "key")).alias("last"), F.max("run").alias("taken_words"))
     cut = edges.join(fits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    none = F.array().cast("array<struct<q:double,key:string>>")
+    none = F.array().cast(EXTRAS)
     cut = written(cut.select("source", "edge", "last", F.coalesce("taken_words", "before").cast("bigint").alias("got"), none.alias("extras")), "cut")
-    chosen = 0
-    for _ in range(FILL_ROUNDS):
-        cut = written(_filled(live, cut, last=False), "cut")
-        now = cut.agg(F.sum(F.size("extras"))).first()[0]
-        if now == chosen:
-            break  # nothing fits any more
+    wanted = broadcast_below(wanted, BROADCAST_SOURCES)
+    cut = written(cut.join(wanted, F.col("source").eqNullSafe(F.col("s"))).select("source", "edge", "last", "got", "extras", "w"), "cut")
+    chosen = -1
+    while (now := cut.agg(F.sum(F.size("extras"))).first()[0]) != chosen:  # until nothing fits any more
         chosen = now
-    cut = written(_filled(live, cut, last=True), "cut")
+        cut = written(_filled(live, cut), "cut")
+    cut = written(_nearest(live, cut), "cut")
     return plan.join(cut.select(F.col("source").alias("c"), "edge", "last", "extras"), F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
 
 
-def _filled(live: DataFrame, cut: DataFrame, last: bool) -> DataFrame:
-    """One more document per source: the largest that fits the words missing, or at last the one nearest to them."""
-    per = broadcast_below(cut.withColumnRenamed("source", "s"), BROADCAST_SOURCES)
-    at, gap, size = F.struct("q", "key"), F.col("wanted") - F.col("got"), F.col("size")
+EXTRAS = "array<struct<least:bigint,most:bigint,part:bigint,last:struct<q:double,key:string>>>"
+
+
+def _extra(at: Column) -> Column:
+    """Whether one of the extras holds a row; null fields of an extra hold none."""
+    size = F.col("size")
+    return F.exists("extras", lambda e: F.coalesce(size.between(e["least"], e["most"]), F.lit(False)) | F.coalesce((size == e["part"]) & (at <= e["last"]), F.lit(False)))
+
+
+def _rest(live: DataFrame, cut: DataFrame) -> DataFrame:
+    """Documents with words that no cut-off takes yet, with the words their source misses as ``gap``."""
+    per = broadcast_below(cut.select(F.col("source").alias("s"), "edge", "last", "extras", (F.col("w") - F.col("got")).alias("gap")), BROADCAST_SOURCES)
+    at = F.struct("q", "key")
     rest = live.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rest = rest.where((F.col("bucket") > F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(at > F.col("last"), F.lit(True))))
-    off = F.abs(size - gap)
-    rest = rest.where((size > 0) & ~F.array_contains("extras", at) & ((off < F.abs(gap)) if last else (size <= gap)))
-    best = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key", "size")).alias("best"))
-    best = best.select(F.col("source").alias("s"), F.array(F.struct(F.col("best.q").alias("q"), F.col("best.key").alias("key"))).alias("one"), F.col("best.size").alias("words"))
-    joined = cut.join(best, F.col("source").eqNullSafe(F.col("s")), "left")
+    return rest.where((F.col("size") > 0) & ~_extra(at)).select("source", "size", "bucket", "q", "key", "gap")
+
+
+def _added(cut: DataFrame, extra: DataFrame) -> DataFrame:
+    """``extra``: s, words and the fields of one more extra, for some of the sources."""
+    one = F.array(F.struct("least", "most", "part", F.col("upto").alias("last"))).cast(EXTRAS)
+    extra = extra.select("s", "words", one.alias("one"))
+    joined = cut.join(extra, F.col("source").eqNullSafe(F.col("s")), "left")
     extras = F.when(F.col("one").isNull(), F.col("extras")).otherwise(F.concat("extras", "one"))
-    return joined.select("source", "edge", "last", (F.col("got") + F.coalesce("words", F.lit(0))).alias("got"), extras.alias("extras"))
+    return joined.select("source", "edge", "last", (F.col("got") + F.coalesce("words", F.lit(0))).alias("got"), extras.alias("extras"), "w")
+
+
+def _filled(live: DataFrame, cut: DataFrame) -> DataFrame:
+    """One round per source: the largest sizes that fit whole, then as many documents of the next size as fit."""
+    rest = _rest(live, cut).where("size <= gap")
+    sizes = written(rest.groupBy("source", "gap", "size", "bucket").agg(F.count("*").alias("n")), "rest")
+    by_size = sizes.groupBy("source", "gap", "size").agg((F.sum("n") * F.col("size")).alias("words"))
+    run = by_size.withColumn("run", F.sum("words").over(W.partitionBy("source").orderBy(F.desc("size"))))
+    fits, first = F.col("run") <= F.col("gap"), F.col("run") > F.col("gap")
+    over = F.max(F.when(first, F.struct("size", (F.col("run") - F.col("words")).alias("before"))))
+    ends = run.groupBy("source", "gap").agg(over.alias("over"), F.max(F.when(fits, F.col("size"))).alias("most"), F.min(F.when(fits, F.col("size"))).alias("least"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).alias("whole"))
+    room = F.floor((F.col("gap") - F.col("over.before")) / F.col("over.size")).cast("bigint")
+    ends = written(ends.select(F.col("source").alias("s"), "least", "most", "whole", F.when(room > 0, F.col("over.size")).alias("part"), room.alias("room")), "ends")
+    # of the size that fits in part: the bucket its last document falls in, then the document
+    some = broadcast_below(ends.where("part IS NOT NULL").select("s", "part", "room"), BROADCAST_SOURCES)
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("part"))
+    upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))
+    places = sizes.join(some, same).withColumn("upto", upto).where("upto >= room").groupBy("s", "part", "room").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("at"))
+    places = written(places.select("s", "part", "room", "at.bucket", "at.before").withColumnRenamed("bucket", "b"), "places")
+    ranked = rest.join(broadcast_below(places, BROADCAST_SOURCES), same & (F.col("bucket") == F.col("b")))
+    rank = F.col("before") + F.count("*").over(W.partitionBy("source").orderBy("q", "key"))  # rows alike have one rank
+    last = ranked.withColumn("rank", rank).where("rank >= room").groupBy("source").agg(F.min(F.struct("rank", "q", "key")).alias("x"))
+    last = last.select(F.col("source").alias("l"), F.col("x.rank").alias("rank"), F.struct("x.q", "x.key").alias("upto"))
+    extra = ends.join(last, F.col("s").eqNullSafe(F.col("l")), "left")
+    words = F.col("whole") + F.coalesce(F.col("rank") * F.col("part"), F.lit(0))
+    return _added(cut, extra.select("s", "least", "most", "part", "upto", words.cast("bigint").alias("words")))
+
+
+def _nearest(live: DataFrame, cut: DataFrame) -> DataFrame:
+    """One more document per source: the one whose size is nearest to the words missing, if that brings it nearer."""
+    off = F.abs(F.col("size") - F.col("gap"))
+    best = _rest(live, cut).where(off < F.abs("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key", "size")).alias("best"))
+    no = F.lit(None).cast("bigint")
+    return _added(cut, best.select(F.col("source").alias("s"), no.alias("least"), no.alias("most"), F.col("best.size").alias("part"), F.struct("best.q", "best.key").alias("upto"), F.col("best.size").alias("words")))
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:

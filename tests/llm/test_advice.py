@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from pixeltide.llm import simhash
+from pixeltide.llm import mixing, simhash
 
 
 def connected(n, pairs):
@@ -52,3 +52,10 @@ def test_crowded_buckets_lose_no_link(spark, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, similarity=least).collect()}
     assert [got[i] for i in range(n)] == connected(n, alike)
+
+
+def test_long_documents_leave_no_gap(spark):
+    rows = [(f"a{s}", 10) for s in range(8) for _ in range(300)] + [(f"a{s}", 4000) for s in range(8)] + [("z", 100)] * 250
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id bigint, source string, text string")
+    found = mixing.mix_sizes(docs, weights=(1,)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert {r["source"]: r["sum(taken)"] for r in found} == {r["source"]: r["max(target)"] for r in found} == {s: 9000 for s, _ in rows}
