@@ -3,10 +3,10 @@
 Components become integers floor(256 x), so scores are exact.  The second-moment matrix of all vectors (summed per
 task) gives the rotation whose leading coordinates hold most of every product.  Vectors are range-partitioned and
 sorted by descending length and written once.  Queries - a stated set of rows - go through in blocks of
-``QUERY_BLOCK`` or ``QUERY_BYTES`` at most, each broadcast; a task reads its vectors longest first and keeps the k best of
-each query:
+``QUERY_BLOCK`` or ``QUERY_BYTES`` at most, each broadcast; a task reads its files, each longest first, and keeps the k best
+of each query:
 
-* |q| |x| below the k-th best score: that query is done with this task, as all later vectors are shorter;
+* |q| |x| below the k-th best score for the longest of a block of vectors: that query skips the block;
 * head product plus |q_tail| |x_tail| (Cauchy-Schwarz on the coordinates left out) below the k-th best: skipped;
 * what is left gets its exact integer product.
 
@@ -134,7 +134,7 @@ class Best:
 
 
 def scan(best: Best, ids: np.ndarray, x: np.ndarray) -> None:
-    """Score vectors that come in descending length against all queries that may still gain from them."""
+    """Score vectors against all queries that may still gain from them; those in descending length gain most."""
     queries = best.queries
     length = np.sqrt((x * x).sum(1))
     slack = 1e-6
@@ -142,7 +142,7 @@ def scan(best: Best, ids: np.ndarray, x: np.ndarray) -> None:
         some, some_ids, some_len = x[s : s + VECTOR_BLOCK], ids[s : s + VECTOR_BLOCK], length[s : s + VECTOR_BLOCK]
         live = np.flatnonzero(queries.length * some_len.max(initial=0) * (1 + slack) + slack >= best.floor)
         if not len(live):
-            return
+            continue  # a batch may hold the start of another file, whose vectors are longer
         r = some @ queries.basis
         tail = np.sqrt((r[:, queries.head :] ** 2).sum(1))
         bound = queries.front[live] @ r[:, : queries.head].T + np.outer(queries.tail[live], tail)

@@ -1,11 +1,13 @@
 """Places where an operator once did less than the whole job."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pixeltide.llm import mixing, simhash
+from pixeltide.llm import mixing, simhash, topk_search
 
 
 def connected(n, pairs):
@@ -59,3 +61,19 @@ def test_long_documents_leave_no_gap(spark):
     docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id bigint, source string, text string")
     found = mixing.mix_sizes(docs, weights=(1,)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert {r["source"]: r["sum(taken)"] for r in found} == {r["source"]: r["max(target)"] for r in found} == {s: 9000 for s, _ in rows}
+
+
+def test_long_vectors_behind_short_ones_are_scored():
+    r = np.random.default_rng(3)
+    files = [np.floor(r.normal(size=(1500, 8)) * scale) for scale in (900, 3, 700, 2, 800)]  # each longest first, as written
+    x = np.concatenate([f[np.argsort(-(f * f).sum(1))] for f in files])
+    ids = np.arange(len(x))
+    queries = topk_search.Queries(ids[::500], x[::500], np.eye(8), 4, 5)
+    batch = pa.record_batch({"id": pa.array(ids), "v": pa.array(list(x))})
+    found = [b.to_pydict() for b in topk_search._task(SimpleNamespace(value=queries))(iter([batch]))]
+    got = {(q, v, s) for b in found for q, v, s in zip(b["query_id"], b["vec_id"], b["score"], strict=True)}
+    want = set()
+    for q in ids[::500].tolist():
+        scores = (x @ x[q]).astype(int)
+        want |= {(q, int(v), int(scores[v])) for v in sorted(set(ids.tolist()) - {q}, key=lambda v: (-scores[v], v))[:5]}
+    assert got == want
