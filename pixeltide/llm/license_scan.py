@@ -1,10 +1,11 @@
 """License scan: a trained paragraph classifier confirmed by templates, scored with DataFrame functions only.
 
 Training (once per session, on the templates below and on windows cut from them - labelled rows, at most
-``max_rows``): sparse multinomial logistic regression (L1, Spark ML) over word n-grams.  Held-out windows calibrate it:
-a temperature minimises their log-loss, and a family is only predicted above the lowest probability at which
-``PRECISION`` of the held-out predictions are right; any other paragraph that speaks of licences or rights
-is ``unknown``.
+``max_rows``): sparse multinomial logistic regression (L1, Spark ML) over word n-grams.  A family needs its ``MARKS``
+(``nc``, version 3) and none of a sibling licence's; otherwise it is ruled out and has probability 0.  Texts held out
+whole in ``FOLDS`` folds, templates and texts of no family (sibling licences among them), calibrate it: a temperature
+minimises their log-loss, and a family is only predicted above the lowest probability at which ``PRECISION`` of the
+held-out predictions are right; any other paragraph that speaks of licences or rights is ``unknown``.
 
 Scan: a paragraph (line) can only score if it has an n-gram of the vocabulary, and every such n-gram has one of the
 ``anchors`` words, so one regular expression finds all paragraphs to score, exactly.  Those are cut into n-grams, which
@@ -85,12 +86,45 @@ OTHERS = [
     "Permission to enter is granted to any person with a ticket.",
     "The public may obtain the general terms from the office.",
     "The foundation published a later version of the program.",
+    # licences next to those of the families
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "Licensed under CC BY 4.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+    "Released under the GNU GPL v2.",
+    "SPDX-License-Identifier: GPL-2.0-or-later",
+    "This library is licensed under the GNU Lesser General Public License, version 3.",
+    "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "Licensed under the BSD 2-Clause License.",
+    "Licensed under the Apache License, Version 1.1.",
 ]
+#: Fixed values, on words joined by blanks: what a paragraph must hold to be of a family, and what makes it a sibling's.
+MARKS = {
+    "mit": (r"\b(mit license|identifier mit|permission is hereby granted free of charge)\b", r"\b(mit 0|mit no attribution)\b"),
+    "apache-2.0": (r"\b(apache( license)?( version)? 2( 0)?|apache org licenses license 2 0)\b", r"\bapache( license)?( version)? 1 [01]\b"),
+    "gpl-3.0": (
+        r"\b((gnu general public license|gpl)( as published by the free software foundation)?( either)? (v|version )?3|gnu general public license along with)\b",
+        r"\b(lesser|affero|library) general public|\b[al]gpl\b|\b(general public license|gpl)( as published by the free software foundation)?( either)? (v|version )?[12]\b",
+    ),
+    "cc-by-nc-4.0": (r"\b(by nc|attribution non ?commercial) 4 0\b", r"\b(nc|non ?commercial) (sa|nd|share ?alike|no ?deriv[a-z]*)\b"),
+    "bsd-3-clause": (r"\b(bsd 3 clause|bsd style|redistribution and use in source and binary forms)\b", r"\bbsd [0124] clause\b"),
+    "all-rights-reserved": (r"\ball rights reserved\b", r"\bnot all rights reserved\b"),
+}
 NGRAMS = (1, 2, 3)
 WORD = r"[a-z0-9]+"
 #: Function words; an n-gram needs one word besides them to enter the vocabulary.
 COMMON = set("a an and any are at be by can for found from had he her his if in is it its may new no not of on one or out she so that the this to use was were will with you your".split())
 MAX_ROWS, PRECISION, CONTAINED, WINDOWS = 20_000, 0.95, 0.5, (4, 6, 9, 14)
+#: Texts are held out whole, each in one of so many folds.
+FOLDS = 4
+#: Score of a family that the marks rule out; its probability is 0.
+RULED_OUT = -1e6
 UNKNOWN = "unknown"
 
 
@@ -112,39 +146,65 @@ class Model:
     anchors: tuple[str, ...]
 
 
-def _labelled(max_rows: int) -> list[tuple[int, list[str], bool]]:
-    """(class, words, held out); windows of the templates stand for the ways in which notices are cut and embedded."""
+def _labelled(max_rows: int) -> list[tuple[int, list[str], int, bool]]:
+    """(class, words, fold, whole text); all cuts of a text are in its fold; windows of the templates stand for the ways in which notices are cut and embedded."""
     rows = []
     for label, texts in enumerate([*FAMILIES.values(), OTHERS]):
-        for text in texts:
-            words = words_of(text)
-            whole = len(FAMILIES) == label
-            cuts = [words] * 3 + [words[i : i + w] for w in WINDOWS for i in range(0, len(words) - w + 1)] * (not whole)
-            rows += [(label, c, j % 4 == 3) for j, c in enumerate(cuts)]
-            rows += [(len(FAMILIES), [w], False) for w in words] * whole
+        for place, text in enumerate(texts):
+            words, fold = words_of(text), place % FOLDS
+            other = len(FAMILIES) == label
+            cuts = [words] * 3 + [words[i : i + w] for w in WINDOWS for i in range(0, len(words) - w + 1)] * (not other)
+            rows += [(label, c, fold, not j) for j, c in enumerate(cuts)]
+            rows += [(len(FAMILIES), [w], fold, False) for w in words] * other
     return rows[:max_rows]
 
 
-def train(spark: SparkSession, max_rows: int = MAX_ROWS, l1: float = 0.002) -> Model:
-    """Fit and calibrate on at most ``max_rows`` labelled rows."""
+def _fitted(spark: SparkSession, rows: list[tuple[int, list[str]]], l1: float) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
+    """Weights of the n-grams and intercepts, fitted on (class, words)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
 
-    rows = _labelled(max_rows)
-    names = tuple(FAMILIES)
-    vocabulary = sorted({g for _, words, out in rows if not out for g in grams_of(words) if set(g.split()) - COMMON})
+    vocabulary = sorted({g for _, words in rows for g in grams_of(words) if set(g.split()) - COMMON})
     index = {g: i for i, g in enumerate(vocabulary)}
 
     def vector(words):
         return Vectors.sparse(len(index), sorted((index[g], 1.0) for g in grams_of(words) if g in index))
 
-    frame = spark.createDataFrame([(float(y), vector(w)) for y, w, out in rows if not out], ["label", "features"]).coalesce(1)
+    frame = spark.createDataFrame([(float(y), vector(w)) for y, w in rows], ["label", "features"]).coalesce(1)
     fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=l1, standardization=False, maxIter=150).fit(frame)
     table, intercepts = fit.coefficientMatrix.toArray(), tuple(map(float, fit.interceptVector.toArray()))
-    weights = {g: tuple(map(float, table[:, i])) for g, i in index.items() if table[:, i].any()}
-    held = [(y, scores_of(w, weights, intercepts)) for y, w, out in rows if out]
-    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: sum(-math.log(max(softmax(s, t)[y], 1e-300)) for y, s in held))
-    threshold = calibrated_threshold([(y, softmax(s, temperature)) for y, s in held], len(names))
+    return {g: tuple(map(float, table[:, i])) for g, i in index.items() if table[:, i].any()}, intercepts
+
+
+def confirmable(words: list[str], family: int) -> bool:
+    """Whether the marks of a family allow a text to be confirmed as one of its notices."""
+    has, sibling = list(MARKS.values())[family]
+    joined = " ".join(words)
+    return re.search(has, joined) is not None and re.search(sibling, joined) is None
+
+
+def possible(words: list[str], scores: list[float]) -> list[float]:
+    """Scores with those of the families that the marks rule out as low as can be."""
+    return [s if k == len(FAMILIES) or confirmable(words, k) else RULED_OUT for k, s in enumerate(scores)]
+
+
+def held_out_scores(spark: SparkSession, rows: list[tuple[int, list[str], int, bool]], l1: float) -> list[tuple[int, list[str], list[float]]]:
+    """(class, words, scores) of every whole text, by a model that has seen no cut of it; families without marks are out."""
+    held = []
+    for fold in range(FOLDS):
+        weights, intercepts = _fitted(spark, [(y, w) for y, w, at, _ in rows if at != fold], l1)
+        held += [(y, w, possible(w, scores_of(w, weights, intercepts))) for y, w, at, whole in rows if at == fold and whole]
+    return held
+
+
+def train(spark: SparkSession, max_rows: int = MAX_ROWS, l1: float = 0.002) -> Model:
+    """Calibrate on texts held out whole, of families and of none, then fit on all of at most ``max_rows`` labelled rows."""
+    rows = _labelled(max_rows)
+    names = tuple(FAMILIES)
+    held = held_out_scores(spark, rows, l1)
+    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: sum(-math.log(max(softmax(s, t)[y], 1e-300)) for y, _, s in held))
+    threshold = calibrated_threshold([(y, softmax(s, temperature)) for y, _, s in held], len(names))
+    weights, intercepts = _fitted(spark, [(y, w) for y, w, _, _ in rows], l1)
     return Model(names, weights, intercepts, temperature, threshold, anchor_words(weights))
 
 
@@ -216,9 +276,13 @@ def notices(text: Column, model: Model) -> Column:
         grams = F.concat(*[_grams(words, n) for n in NGRAMS])
         matched = F.array_intersect(grams, _array(vocabulary))
         total = F.aggregate(matched, _array(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        return F.transform(F.array(F.struct(matched.alias("matched"), total.alias("total"), F.array_distinct(_grams(words, 3)).alias("three"))), _decided).getItem(0)
+        return F.transform(F.array(F.struct(matched.alias("matched"), total.alias("total"), F.array_distinct(_grams(words, 3)).alias("three"), F.array_join(words, " ").alias("joined"))), _decided).getItem(0)
 
     def _decided(x: Column) -> Column:
+        ruled = F.array(*[F.when(x["joined"].rlike(has) & ~x["joined"].rlike(sibling), x["total"][k]).otherwise(F.lit(RULED_OUT)) for k, (has, sibling) in enumerate(MARKS.values())], x["total"][len(model.families)])
+        return F.transform(F.array(F.struct(ruled.alias("total"), x["matched"].alias("matched"), x["three"].alias("three"))), _shared).getItem(0)
+
+    def _shared(x: Column) -> Column:
         top = F.array_max(x["total"])
         odds = F.transform(x["total"], lambda s: F.exp((s - top) / model.temperature))
         share = F.transform(odds, lambda e: e / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pixeltide.llm import mixing, simhash, topk_search
+from pixeltide.llm import license_scan, mixing, simhash, topk_search
 
 
 def connected(n, pairs):
@@ -77,3 +77,19 @@ def test_long_vectors_behind_short_ones_are_scored():
         scores = (x @ x[q]).astype(int)
         want |= {(q, int(v), int(scores[v])) for v in sorted(set(ids.tolist()) - {q}, key=lambda v: (-scores[v], v))[:5]}
     assert got == want
+
+
+def test_sibling_licences_are_unknown(spark):
+    siblings = [
+        "licensed under a Creative Commons Attribution 4.0 International License",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is distributed under the GNU Lesser General Public License, version 2.1.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ]
+    docs = spark.createDataFrame(list(enumerate([*siblings, "Licensed under CC BY-NC 4.0."])), "doc_id bigint, text string")
+    got = {r["id"]: (r["families"], r["n_unknown"]) for r in license_scan.summarised(license_scan.scan_licenses(docs)).collect()}
+    assert got == dict.fromkeys(range(len(siblings)), ("", 1)) | {len(siblings): ("cc-by-nc-4.0", 0)}
+    folds = {label: {fold for y, _, fold, whole in license_scan._labelled(license_scan.MAX_ROWS) if y == label and whole} for label in range(len(license_scan.FAMILIES) + 1)}
+    assert all(len(at) > 1 for at in folds.values()) and len(folds[len(license_scan.FAMILIES)]) == license_scan.FOLDS
