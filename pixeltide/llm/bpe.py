@@ -10,7 +10,7 @@ Decoding gathers the bytes of all ids of a batch from one table and decodes UTF-
 
 The vocabulary JSON must be a byte-level BPE without normaliser, as its reader checks; driver reads it, broadcasts it.
 
-Defined cases: null text counts as empty (no ids, empty text); ids may be null or repeated (one row per input row); an
+Defined cases: a very long text is encoded whole, its words in batches; null text counts as empty (no ids, empty text); ids may be null or repeated (one row per input row); an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import batch_of, bounded_batches, slices
-from pixeltide.llm.word_memory import broadcast_model
+from pixeltide.llm.word_memory import broadcast_model, longest_special
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +49,7 @@ class ByteBpe:
     def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
+        longest_special(text)  # refuses added tokens that are not plain strings
         if spec.get("normalizer") or model["type"] != "BPE" or model.get("end_of_word_suffix") or model.get("ignore_merges") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("not a plain byte-level BPE")
         letters = byte_letters()

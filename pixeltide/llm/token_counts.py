@@ -1,21 +1,22 @@
 """Token counts of whole texts, huge documents by overlap resynchronisation.
 
-Words of ordinary documents are encoded by the library once and remembered (``word_memory``).  A text longer than ``chunk`` characters is encoded in chunks
-that overlap, each with offsets.  Two neighbours A (ending at a1) and B (starting at b0 < a1) are spliced at a position
+A text of up to ``chunk`` characters is one chunk; its words are encoded by the library once and remembered
+(``word_memory``).  A longer text is encoded in chunks that overlap, each with offsets.  Two neighbours A (ending at a1) and B (starting at b0 < a1) are spliced at a position
 p of the overlap that is provably stable:
 
 * text[p-1] is no white space and text[p] is ASCII white space.  Normalisation and pre-tokenisation never reach across
   such a place (no special token, no composition and no pre-token holds white space), so what stands before p is
   encoded alike whatever follows, and what stands after p whatever came before;
 * both sides have a token boundary there: a token of A ends at p and a token of B ends at p;
-* p lies at least ``guard`` characters from either end of the overlap, more than the longest special token, so neither
-  a special string cut by A's end nor one cut by B's start can reach it.
+* p lies at least ``guard`` characters from either end of the overlap, and more than the tokenizer's longest special
+  token, so neither a special string cut by A's end nor one cut by B's start can reach it.
 
 By induction A is right up to p, and from p on B is right.  If the overlap holds no such place it is doubled, up to a
 chunk that reaches the end of the text.  The tokens of a document are counted chunk by chunk, so memory is bounded by
 a chunk, not by the document, unless no stable place exists at all.
 
-Defined cases: null text counts as empty (0 bytes, 0 tokens); ids may be null or repeated (one row per input row); an
+Defined cases: a text of any length is counted whole, splicing beyond ``chunk``; one without white space is one ever
+wider chunk; null text counts as empty (0 bytes, 0 tokens); ids may be null or repeated (one row per input row); an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixeltide.llm.common import batch_of, bounded_batches, slices
-from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
+from pixeltide.llm.word_memory import broadcast_model, encoder_of, longest_special, tokenizer_of
 
-CHUNK, OVERLAP, GUARD = 32_768, 512, 64
+CHUNK, OVERLAP, GUARD = 16_384, 512, 64
 #: Text split into words at once.
 TEXT_BYTES = 8 << 20
 SPACES = " \t\n\r\x0b\x0c"
@@ -85,14 +86,14 @@ def _count(model, chunk: int, overlap: int, guard: int):
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, encoder = tokenizer_of(model.value), encoder_of(model.value)
+        tokenizer, encoder, apart = tokenizer_of(model.value), encoder_of(model.value), max(guard, longest_special(model.value) + 1)
         for batch in batches:
             for part in slices(batch, limit=TEXT_BYTES):
                 texts = part.column("text")
                 huge = pc.greater(pc.fill_null(pc.utf8_length(texts), 0), chunk)
                 counts = encoder.count(pc.if_else(huge, "", texts))
                 for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
-                    counts[i] = sum(map(len, spliced(tokenizer, texts[i].as_py(), chunk, overlap, guard)))
+                    counts[i] = sum(map(len, spliced(tokenizer, texts[i].as_py(), chunk, overlap, apart)))
                 yield batch_of(schema, part.column("id"), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), counts)
 
     return run

@@ -14,7 +14,7 @@ Decoding looks up ``MAX_LENGTH`` bits at a time in a table of 2**MAX_LENGTH entr
 Words between ASCII white space are encoded by the tokenizers library once and remembered; neither normalisation nor
 pre-tokenisation of a tokenizer that drops white space reaches across it, so a text's ids are its words' ids in order.
 
-Defined cases: null text counts as empty and holds the end id alone; null ids come first; rows repeated with one id
+Defined cases: a very long text is stored whole, in one block; null text counts as empty and holds the end id alone; null ids come first; rows repeated with one id
 stand side by side, ordered by their tokens; an empty table gives empty files; other columns are ignored.
 """
 

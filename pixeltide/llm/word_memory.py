@@ -1,13 +1,16 @@
 """Tokenizers on the executors, and a memory of encoded words.
 
 The tokenizer's JSON is read by the driver and broadcast; files above ``MAX_MODEL_BYTES`` are refused.  If white space
-only separates - neither normalisation nor pre-tokenisation reaches across it - a text's ids are its words' ids in
-order, so that every distinct word goes through the library once.  Texts are split and their words numbered in Arrow.
+only separates - neither normalisation nor pre-tokenisation reaches across it, as ``drops_space`` reads from the
+tokenizer's own description - a text's ids are its words' ids in order, so that every distinct word goes through the
+library once.  Texts are split and their words numbered in Arrow.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +23,12 @@ MAX_MODEL_BYTES = 64 << 20
 MEMORY = 600_000
 #: Signs that, behind letters and before white space, are a pre-token of their own.
 PUNCTUATION = ".,!?;:*#$%&"
+#: Letters below U+0250 that normalisation leaves one letter each; none composes with its neighbours.
+SIMPLE = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
+#: Marks that may compose with an ASCII letter: a text with one keeps its case until the library has composed it.
+MARKS = "[\u0300-\u036f]"
+#: Fixed value: the pre-tokens of a tokenizer whose words may be encoded one by one; none holds white space.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def broadcast_model(spark: SparkSession, path: str):
@@ -70,12 +79,12 @@ class WordMemory:
         return self.flat[shift + np.arange(len(shift))], lengths
 
     def learn(self, words: list[str], at_once: int = 200) -> None:
-        """Letters, then words of letters with punctuation behind them (two pre-tokens), then all others."""
+        """Letters, then words of simple letters with punctuation behind them (two pre-tokens), then all others."""
         plain, ended, odd = [], [], []
         for w in words:
             if w.isalpha():
                 plain.append(w)
-            elif (core := w.rstrip(PUNCTUATION)).isalpha():
+            elif (core := w.rstrip(PUNCTUATION)) and SIMPLE.issuperset(core):
                 ended.append((w, core, w[len(core) :]))
             else:
                 odd.append(w)
@@ -112,7 +121,8 @@ class WordMemory:
         if len(self.known) > MEMORY:
             self.clear()
         texts = pc.fill_null(texts, "")
-        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special strings keep their case
+        cased = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, MARKS))  # special strings keep their case
+        low = pc.if_else(cased, texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(low)
         words = split.flatten().dictionary_encode()
         unique = words.dictionary.to_pylist()
@@ -136,10 +146,25 @@ class WordMemory:
         return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
-def drops_space(tokenizer) -> bool:
-    """Whether white space only separates and letter case is ignored, so that words may be encoded one by one."""
-    ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " A \n\t B ", " ")]
-    return ids[2] == ids[3] == ids[0] + ids[1] and not ids[4]
+def longest_special(model: str) -> int:
+    """Characters of the longest added token; those that take in or depend on what stands around them are refused."""
+    added = json.loads(model).get("added_tokens") or []
+    if odd := [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or not t["content"] or any(c.isspace() for c in t["content"])]:
+        raise ValueError(f"added tokens that reach beyond their own text: {odd}")
+    return max((len(t["content"]) for t in added), default=0)
+
+
+def drops_space(model: str) -> bool:
+    """Whether white space only separates and ASCII case is ignored: NFC, white space to blanks, lower case, then pre-tokens
+    without white space, as the tokenizer's description states it."""
+    d = json.loads(model)
+    first = d.get("normalizer") or {}
+    first = first["normalizers"] if first.get("type") == "Sequence" else [first]
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    second = d.get("pre_tokenizer") or {}
+    second = second["pretokenizers"] if second.get("type") == "Sequence" else [second]
+    split = {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True}
+    return first == [{"type": "NFC"}, blanks, {"type": "Lowercase"}] and [split] == second[:1] and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in second[1:]] == [("ByteLevel", False, False)]
 
 
 class WholeTexts:
@@ -159,5 +184,5 @@ class WholeTexts:
 @lru_cache(maxsize=1)
 def encoder_of(model: str, end_id: int = 0, width: str = "<u4"):
     """Kept by a Python worker from task to task."""
-    tokenizer = tokenizer_of(model)
-    return (WordMemory if drops_space(tokenizer) else WholeTexts)(tokenizer, end_id, width)
+    longest_special(model)
+    return (WordMemory if drops_space(model) else WholeTexts)(tokenizer_of(model), end_id, width)
