@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -23,11 +24,14 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's own folder below ``spark.checkpoint.dir``; a temporary one only if that setting is unset."""
+    """This application's own folder below ``spark.checkpoint.dir``; a temporary one only if that is unset and all of Spark is
+    in one process, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _CREATED:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="pixeltide-")
             spark.sparkContext.setCheckpointDir(base)
         _CREATED[app] = f"{base.rstrip('/')}/pixeltide-{app}-{uuid.uuid4().hex[:8]}"
@@ -58,9 +62,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._pixeltide_path = path
+    if getattr(_SCOPES, "open", None):
+        _SCOPES.open[-1].append(again)
     return again
 
 
+_SCOPES = threading.local()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that are taken off the list by ``kept``."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    held: list[DataFrame] = []
+    _SCOPES.open.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.open.pop()
+        for df in held:
+            release(df)
+
+
+def kept(held: list[DataFrame], df: DataFrame) -> DataFrame:
+    """A written table that outlives the innermost scope; the next one holds it from then on."""
+    held[:] = [x for x in held if x is not df]
+    if len(_SCOPES.open) > 1:
+        _SCOPES.open[-2].append(df)
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for df in tables:
@@ -88,8 +120,8 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Bits of a key filter: at most 2**18 rows of 64 bits, whatever the number of keys.
-FILTER_BITS = 24
+#: Least and greatest bits of a key filter, as powers of two; the greatest is 2**21 rows of 64 bits.
+FILTER_BITS = (18, 27)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -107,18 +139,27 @@ def _bytes(text: str) -> int:
     return n if n > 0 else 1 << 62
 
 
-def key_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """A one-hash Bloom filter as a table (word, bits) of fixed greatest size, written once."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+def key_filter(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
+    """A one-hash Bloom filter of at least 64 bits a key, up to ``FILTER_BITS``: a table (word, bits) and its size's power.
+
+    With more keys than that it says "maybe" too often, and the exact join behind it does all the work.
+    """
+    hashes = written(keys.select(F.xxhash64(key).alias("hash")), "filter_keys")
+    size = min(max((64 * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    place = F.pmod("hash", F.lit(1 << size))
     bit = F.expr("shiftleft(1L, int(place % 64))")
-    words = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
-    return written(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+    words = hashes.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit"))
+    made = written(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
+    if not getattr(_SCOPES, "open", None):
+        release(hashes)
+    return made, size
 
 
-def split_by(df: DataFrame, key: Column, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_by(df: DataFrame, key: Column, made: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
     """Rows whose key surely is not in the filter, and all others; only the latter need an exact join."""
+    words, size = made
     place, word, bits = (fresh(c, df.columns) for c in ("filter_place", "filter_word", "filter_bits"))
-    placed = df.withColumn(place, F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)))
+    placed = df.withColumn(place, F.pmod(F.xxhash64(key), F.lit(1 << size)))
     held = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
     joined = placed.join(F.broadcast(held), F.shiftright(place, 6) == F.col(word), "left")
     maybe = F.coalesce(F.expr(f"(shiftright({bits}, int({place} % 64)) & 1) = 1"), F.lit(False))

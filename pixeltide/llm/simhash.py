@@ -17,15 +17,19 @@ Search over distinct fingerprints, all counts from all of them:
   its members go to a second search in which every choice of RADIUS bits is masked, so that equal keys are links, which
   needs no comparison and no more memory than the first member.
 
-With ``similarity`` a link also needs that share of common shingles (Jaccard), so that a wide radius - ``radius_for`` gives
-the one at which half the pairs of that similarity are expected - finds similar texts without joining others.  Nodes are
-then distinct texts; the candidate pairs of a bucket are compared exactly.  A bucket with more than ``DENSE`` pairs per
-member that no earlier mask has, as a large group of near copies makes it, sends its members as a crowd: their shingles
-meet in one task, which tries the nearest and the member of most neighbours first and then every pair not yet connected,
-and sends a spanning forest of the links verified.  Crowds of more than ``CROWD_BYTES`` of shingles meet block by block.
-Members of an oversized bucket are dealt out again by the bits the bucket left open.
-
-Defined cases: null text counts as empty; no words give fingerprint 0, linked like any other; a null id never is a
+With ``similarity`` a link needs that share of common shingles (Jaccard), and fingerprints only find candidates: they are
+taken of distinct shingles and have ``WORDS`` words of 64 bits, each of its own hash.  Every word is searched by itself; a
+pair is a candidate if some word differs in at most ``radius`` bits and all words together in at most ``reach``.
+``radius_for`` gives the least radius at which ``RECALL`` of the pairs of just that similarity are candidates, ``reach_for``
+a reach that ``REACHED`` of them keep; unrelated texts, for which one word may be near by chance, differ in the others.
+Nodes are then distinct texts.  A candidate that several words or masks show is taken from the first of them.  A bucket
+with more than ``DENSE`` new pairs per member, as a large group of near copies makes it, sends its members as a crowd:
+their shingles meet in one task, which tries the nearest and the member of most neighbours first and then every pair not
+yet connected, and sends a spanning forest of the links verified.  Crowds of more than ``CROWD_BYTES`` of shingles meet
+block by block.  Members of an oversized bucket are dealt out again by the bits the bucket left open.  So texts whose
+fingerprints are candidates and that share enough shingles are always connected.
+
+Defined cases: a very long text is cut into words a piece at a time, whole; null text counts as empty; no words give fingerprint 0, linked like any other; a null id never is a
 component's id unless all its ids are null; repeated rows share a fingerprint and a component; an empty table gives an
 empty result.
 """
@@ -34,7 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
-from math import acos, ceil, comb, pi
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +46,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, bounded_batches, free_shuffles, fresh, key_filter, slices, split_by, written
+from pixeltide.llm.common import batch_of, bounded_batches, free_shuffles, fresh, kept, key_filter, scratch, slices, split_by, written
 from pixeltide.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 RUN = 16_384
 DENSE = 8
+#: Words of a fingerprint that finds candidates; the shares of pairs of the least similarity that radius and reach keep.
+WORDS, RECALL, REACHED = 2, 0.92, 0.995
 #: Bytes of shingles of one block of a crowd; a task holds two.
 CROWD_BYTES = 8 << 20
 #: Rows of the candidate search: a pair of nodes, (mask, node) of an oversized bucket, (crowd, node).
@@ -86,31 +92,61 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(tail), SEED)], "<u8")
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    ones, n = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text, shingle):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def _remixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes as another function of the same shingles; word 0 leaves them as they are."""
+    if not word:
+        return h
+    h = (h ^ np.uint64(word * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _bits_of(hashes: Iterator[np.ndarray], words: int) -> list[int]:
+    ones, n = np.zeros((words, BITS), np.int64), 0
+    for h in hashes:
+        for w in range(words):
+            ones[w] += np.unpackbits(_remixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return [int.from_bytes(np.packbits(x * 2 > n, bitorder="little").tobytes(), "little") for x in ones]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return _bits_of(shingle_hashes(text, shingle), 1)[0]
+
 
+def distinct_shingles(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)]))
 
-def _fingerprints(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64())])
+
+def wide_fingerprint(text: bytes, shingle: int, words: int = WORDS) -> list[int]:
+    """Words of the fingerprint of a text's distinct shingles."""
+    return _bits_of(iter([distinct_shingles(text, shingle)]), words)
+
+
+def word_names(words: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, words))]
+
+
+def _fingerprints(shingle: int, words: int, distinct: bool):
+    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), *((n, pa.int64()) for n in word_names(words))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint((t or "").encode(), shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield batch_of(schema, part.column("id"), part.column("content"), fps.view(np.int64))
+                texts = ((t or "").encode() for t in part.column("text").to_pylist())
+                made = [wide_fingerprint(t, shingle, words) if distinct else _bits_of(shingle_hashes(t, shingle), words) for t in texts]
+                fps = np.array(made, np.uint64).reshape(-1, words).view(np.int64)
+                yield batch_of(schema, part.column("id"), part.column("content"), *fps.T)
 
     return run
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """id, content (a hash of the text that tells rows of one id apart) and fp, the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> DataFrame:
+    """id, content (a hash of the text that tells rows of one id apart) and fp, the 64 bits as a signed number; more words
+    are fp1 and so on.  ``distinct``: repeats of a shingle count once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "id bigint, content bigint, fp bigint")
+    return rows.mapInArrow(_fingerprints(shingle, words, distinct), "id bigint, content bigint, " + ", ".join(f"{n} bigint" for n in word_names(words)))
 
 
 # ---- layout
@@ -228,91 +264,92 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
 
-def _near_pairs(fps: np.ndarray, radius: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs within ``radius`` in one bucket; if they are many, two for each member."""
-    n, a, b, found = len(fps), [], [], 0
+def _within(differ: np.ndarray, radius: int, reach: int) -> np.ndarray:
+    """Whether some word has at most ``radius`` bits and all words have at most ``reach``; words are the last axis."""
+    counts = np.bitwise_count(differ)
+    return (counts.min(-1) <= radius) & (counts.sum(-1) <= reach)
+
+
+def _first_tries(fps: np.ndarray, radius: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two pairs for each member of a crowd, the likeliest to hold: its nearest, and the member of most neighbours."""
+    n = len(fps)
     step = max(1, (1 << 21) // n)
-    for i in range(0, n, step):
-        x, y = np.nonzero(np.bitwise_count(fps[i : i + step, None] ^ fps[None, i:]) <= radius)
-        above = y > x
-        a.append(x[above] + i)
-        b.append(y[above] + i)
-        found += len(a[-1])
-        if found > dense * n:
-            break
-    else:
-        return np.concatenate(a), np.concatenate(b)
     degree, nearest, far = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(0, n, step):
-        d = np.bitwise_count(fps[i : i + step, None] ^ fps[None, :])
-        degree[i : i + step] = (d <= radius).sum(1)
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = 255
+        differ = fps[i : i + step, None] ^ fps[None, :]
+        near = _within(differ, radius, reach)
+        d = np.where(near, np.bitwise_count(differ).sum(-1, dtype=np.int64), 1 << 20)
+        degree[i : i + step] = near.sum(1)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = 1 << 20
         nearest[i : i + step], far[i : i + step] = d.argmin(1), d.min(1)
     hub = int(degree.argmax())
-    linked, near_hub = np.flatnonzero(far <= radius), np.flatnonzero(np.bitwise_count(fps ^ fps[hub]) <= radius)
+    linked, near_hub = np.flatnonzero(far < 1 << 20), np.flatnonzero(_within(fps ^ fps[hub], radius, reach))
     return np.concatenate([linked, near_hub]), np.concatenate([nearest[linked], np.full(len(near_hub), hub)])
 
 
-def _new_pairs(fps: np.ndarray, radius: int, earlier: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Places of the pairs within ``radius`` that agree under none of the masks ``earlier``; None if there are over ``most``."""
-    n, a, b, found = len(fps), [], [], 0
-    step = max(1, (1 << 21) // n)
-    for i in range(0, n, step):
-        differ = fps[i : i + step, None] ^ fps[None, i:]
-        x, y = np.nonzero(np.bitwise_count(differ) <= radius)
-        x, y = x[y > x], y[y > x]
-        first = _agree_under_none(differ[x, y], earlier)
-        a.append(x[first] + i)
-        b.append(y[first] + i)
-        found += len(a[-1])
-        if found > most:
-            return None
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _agree_under_none(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    out = np.ones(len(differ), bool)
-    for m in masks:
-        out &= (differ & m) != 0
-    return out
-
+class Probe:
+    """What a search under the masks of one word takes as a new pair."""
+
+    def __init__(self, radius: int, reach: int, masks: list[int], word: int = 0):
+        self.radius, self.reach, self.word, self.table = radius, reach, word, np.array(masks, np.int64).view(np.uint64)
+
+    def takes(self, differ: np.ndarray, own: np.ndarray | int) -> np.ndarray:
+        """``differ``: rows of words that differ by ``radius`` or less in the searched one; ``own``: number of their mask.  Pairs
+        that an earlier word or mask shows are its."""
+        counts = np.bitwise_count(differ)
+        out = (counts.sum(1) <= self.reach) & (counts[:, : self.word] > self.radius).all(1)
+        for m in range(int(np.max(own, initial=0))):
+            out &= (m >= own) | ((differ[:, self.word] & self.table[m]) != 0)
+        return out
+
+    def pairs(self, fps: np.ndarray, own: int, most: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """Places of all new pairs of one run; None if there are over ``most``."""
+        n, a, b, found = len(fps), [], [], 0
+        column = np.ascontiguousarray(fps[:, self.word])
+        step = max(1, (1 << 21) // n)
+        for i in range(0, n, step):
+            x, y = np.nonzero(np.bitwise_count(column[i : i + step, None] ^ column[None, i:]) <= self.radius)
+            x, y = x[y > x] + i, y[y > x] + i
+            new = self.takes(fps[x] ^ fps[y], own)
+            a.append(x[new])
+            b.append(y[new])
+            found += len(a[-1])
+            if found > most:
+                return None
+        return np.concatenate(a), np.concatenate(b)
 
-def _small_pairs(run: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within ``radius`` in runs of at most ``most`` members, for all runs at once."""
-    a, b = [], []
-    for d in range(1, most):
-        hit = np.flatnonzero((run[d:] == run[:-d]) & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius))
-        a.append(hit)
-        b.append(hit + d)
-    return (np.concatenate(a), np.concatenate(b)) if a else (run[:0], run[:0])
+    def small_pairs(self, run: np.ndarray, fps: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all new pairs in runs of at most ``most`` members, for all runs at once."""
+        a, b = [run[:0]], [run[:0]]
+        column = np.ascontiguousarray(fps[:, self.word])
+        for d in range(1, most):
+            hit = np.flatnonzero((run[d:] == run[:-d]) & (np.bitwise_count(column[d:] ^ column[:-d]) <= self.radius))
+            hit = hit[self.takes(fps[hit] ^ fps[hit + d], own[hit])]
+            a.append(hit)
+            b.append(hit + d)
+        return np.concatenate(a), np.concatenate(b)
 
 
 SMALL = 24
 
 
-def _pairs(radius: int, run: int, masks: list[int], dense: float, number: int):
+def _pairs(probe: Probe, names: list[str], run: int, dense: float, number: int):
     """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node); a
     run of more than ``dense`` pairs a member as (crowd, node).
 
     A pair that agrees under several masks comes from the first of them only, whose run holds it in one of these ways.
     """
-    table = np.array(masks, np.int64).view(np.uint64)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
 
     def pairs_of(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (keys[1:] != keys[:-1]).any(1))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(fps)))
-        small = np.repeat(sizes <= SMALL, sizes)
-        places = np.flatnonzero(small)
-        x, y = _small_pairs((np.cumsum(new) - 1)[places], fps[places], radius, SMALL)
-        x, y = places[x], places[y]
-        differ, own, first = fps[x] ^ fps[y], keys[x, 0], np.ones(len(x), bool)
-        for m in range(int(own.max(initial=0))):
-            first &= (m >= own) | ((differ & table[m]) != 0)
-        a, b = [x[first]], [y[first]]
+        places = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+        x, y = probe.small_pairs((np.cumsum(new) - 1)[places], fps[places], keys[places, 0], SMALL)
+        a, b = [places[x]], [places[y]]
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            found = _new_pairs(fps[s : s + n], radius, table[: keys[s, 0]], dense * n)
+            found = probe.pairs(fps[s : s + n], int(keys[s, 0]), dense * n)
             if found is None:
                 crowd = np.array([xxhash.xxh64_intdigest(keys[s].tobytes(), number)], np.uint64).view(np.int64)
                 yield batch_of(schema, np.repeat(crowd, n), nodes[s : s + n], np.full(n, CROWD, np.int32))
@@ -324,10 +361,10 @@ def _pairs(radius: int, run: int, masks: list[int], dense: float, number: int):
         yield batch_of(schema, low, high, np.full(len(low), PAIR, np.int32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, nodes, flowing = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        keys, fps, nodes, flowing = np.zeros((0, 2), np.int64), np.zeros((0, len(names)), np.uint64), np.zeros(0, np.int64), None
         for batch in batches:
-            mask, key, fp, node = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "key", "fp", "node"))
-            keys, fps, nodes = np.concatenate([keys, np.stack([mask, key], 1)]), np.concatenate([fps, fp.view(np.uint64)]), np.concatenate([nodes, node])
+            mask, key, node, *fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "key", "node", *names))
+            keys, fps, nodes = np.concatenate([keys, np.stack([mask, key], 1)]), np.concatenate([fps, np.stack(fp, 1).view(np.uint64)]), np.concatenate([nodes, node])
             if flowing is not None:
                 other = (keys != flowing).any(1)
                 n = int(other.argmax()) if other.any() else len(keys)
@@ -352,27 +389,34 @@ def _pairs(radius: int, run: int, masks: list[int], dense: float, number: int):
 
 def candidate_pairs(nodes: DataFrame, radius: int, run: int = RUN, masks: list[int] | None = None) -> DataFrame:
     """All pairs (a, b) of ``node``, a < b, whose ``fp`` are within ``radius``."""
-    return candidates(nodes, radius, run, masks, float("inf"))[0]
+    return candidates(nodes, radius, run=run, masks=masks, dense=float("inf"))[0]
 
 
-def candidates(nodes: DataFrame, radius: int, run: int = RUN, masks: list[int] | None = None, dense: float = DENSE) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of ``node``, a < b, and crowds (crowd, node): two within ``radius`` are a pair or stand in one crowd."""
-    spark, total = nodes.sparkSession, nodes.count()
+def candidates(nodes: DataFrame, radius: int, reach: int | None = None, words: int = 1, run: int = RUN, masks: list[int] | None = None, dense: float = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``node``, a < b, and crowds (crowd, node): two of which some word is within ``radius`` and all words
+    are within ``reach`` are a pair or stand in one crowd."""
+    spark, total, names = nodes.sparkSession, nodes.count(), word_names(words)
     if total < 2:
         return spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "crowd bigint, node bigint")
-    masks = masks or layout(nodes, total, radius)
-
-    def search(rows: DataFrame, masks: list[int], run: int, number: int) -> DataFrame:
-        keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
-        probes = rows.select(keys, "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp", "node")
-        return written(probes.mapInArrow(_pairs(radius, run, masks, dense, number), "a bigint, b bigint, kind int"), "pairs")
-
-    found = out = search(nodes, masks, run, 0)
-    full = found.where(F.col("kind") == OVER).select(F.col("a").cast("int").alias("mask"), F.col("b").alias("node"))
-    for (number,) in full.select("mask").distinct().orderBy("mask").collect():  # at most one per mask
-        members = nodes.join(full.where(F.col("mask") == number).select("node"), "node", "left_semi")
-        rest = [b for b in range(BITS) if not masks[number] >> b & 1]
-        out = out.unionByName(search(members, [masks[number] | m for m in complement_masks(rest, radius)], 1 << 62, number + 1))
+    reach = radius * words if reach is None else reach
+
+    def search(rows: DataFrame, word: int, masks: list[int], run: int, number: int) -> DataFrame:
+        keys = F.posexplode(F.array(*[F.col(names[word]).bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
+        probes = rows.select(keys, "node", *names).repartition("mask", "key").sortWithinPartitions("mask", "key", *names, "node")
+        return written(probes.mapInArrow(_pairs(Probe(radius, reach, masks, word), names, run, dense, number), "a bigint, b bigint, kind int"), "pairs")
+
+    out, number = None, 0
+    for word, name in enumerate(names):
+        table = masks or layout(nodes.select(F.col(name).alias("fp")), total, radius)
+        found = search(nodes, word, table, run, number)
+        out = found if out is None else out.unionByName(found)
+        full = found.where(F.col("kind") == OVER).select(F.col("a").cast("int").alias("mask"), F.col("b").alias("node"))
+        for (m,) in full.select("mask").distinct().orderBy("mask").collect():  # at most one per mask
+            members = nodes.join(full.where(F.col("mask") == m).select("node"), "node", "left_semi")
+            rest = [b for b in range(BITS) if not table[m] >> b & 1]
+            number += 1
+            out = out.unionByName(search(members, word, [table[m] | x for x in complement_masks(rest, radius)], 1 << 62, number))
+        number += 1
     pairs = out.where((F.col("kind") == PAIR) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     return pairs, out.where(F.col("kind") == CROWD).select(F.col("a").alias("crowd"), F.col("b").alias("node"))
 
@@ -392,9 +436,24 @@ def complement_masks(bits: list[int], radius: int) -> list[int]:
     return [mask_of(set(g) - set(out)) for g, x in zip(groups, t, strict=True) for out in combinations(g, x)]
 
 
-def radius_for(similarity: float) -> int:
-    """Differing bits expected of two sets of this Jaccard similarity."""
-    return ceil(BITS * acos(2 * similarity / (1 + similarity)) / pi)
+def _upto(n: int, similarity: float) -> list[float]:
+    """Chances that n bits of two sets of this Jaccard similarity differ in at most 0, 1, ... n places."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    out, total = [], 0.0
+    for k in range(n + 1):
+        total += comb(n, k) * p**k * (1 - p) ** (n - k)
+        out.append(total)
+    return out
+
+
+def radius_for(similarity: float, words: int = WORDS, recall: float = RECALL) -> int:
+    """The least radius that some of ``words`` words keep with a chance of ``recall`` or more."""
+    return next(k for k, c in enumerate(_upto(BITS, similarity)) if 1 - (1 - c) ** words >= recall or k == BITS)
+
+
+def reach_for(similarity: float, words: int = WORDS, share: float = REACHED) -> int:
+    """The least number of differing bits of all words that a share of ``share`` or more keep."""
+    return next(k for k, c in enumerate(_upto(BITS * words, similarity)) if c >= share or k == BITS * words)
 
 
 def _shingle_sets(shingle: int):
@@ -403,7 +462,7 @@ def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                made = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes((t or "").encode(), shingle)])).tobytes() for t in part.column("text").to_pylist()]
+                made = [distinct_shingles((t or "").encode(), shingle).tobytes() for t in part.column("text").to_pylist()]
                 yield batch_of(schema, part.column("node"), made)
 
     return run
@@ -425,7 +484,7 @@ def _similar(least: float):
     return run
 
 
-def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, reach: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of links that connect what all links of a crowd do: only pairs that are connected already go untried."""
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
@@ -449,56 +508,58 @@ def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, least:
                 b.append(j)
         mark[sets[i]] = False
 
-    x, y = _near_pairs(fps, radius)
+    x, y = _first_tries(fps, radius, reach)
     by = np.argsort(y, kind="stable")
     x, y = x[by], y[by]
     cuts = np.flatnonzero(y[1:] != y[:-1]) + 1
     for some, to in zip(np.split(x, cuts), y[np.append(0, cuts)] if len(y) else [], strict=False):
         connect(int(to), some)
     for i in range(len(fps) - 1):
-        connect(i, i + 1 + np.flatnonzero((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) & (label[i + 1 :] != label[i])))
+        connect(i, i + 1 + np.flatnonzero(_within(fps[i + 1 :] ^ fps[i], radius, reach) & (label[i + 1 :] != label[i])))
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _crowd_links(radius: int, least: float):
+def _crowd_links(names: list[str], radius: int, reach: int, least: float):
     """Streams rows sorted by (crowd, low, high), one run for each two blocks of a crowd."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links_of(rows: list) -> pa.RecordBatch:
-        nodes, fps = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        a, b = verified_forest(fps, [np.frombuffer(r[2], "<u8") for r in rows], radius, least)
+        nodes, fps = np.array([r[0] for r in rows], np.int64), np.array([r[2:] for r in rows], np.int64).view(np.uint64)
+        a, b = verified_forest(fps, [np.frombuffer(r[1], "<u8") for r in rows], radius, reach, least)
         return batch_of(schema, nodes[a], nodes[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("crowd", "low", "high", "node", "fp", "hashes")]
-            for *key, node, fp, hashes in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("crowd", "low", "high", "node", "hashes", *names)]
+            for row in zip(*columns, strict=True):
+                key = row[:3]
                 if key != at:
                     if held:
                         yield links_of(held)
                     held, at = [], key
-                held.append((node, fp, hashes))
+                held.append(row[3:])
         if held:
             yield links_of(held)
 
     return run
 
 
-def crowd_links(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, least: float, block: int = CROWD_BYTES) -> DataFrame:
-    """Links (a, b) that connect all members of a crowd within ``radius`` and with a share of ``least`` common shingles."""
+def crowd_links(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, radius: int, reach: int, words: int, least: float, block: int = CROWD_BYTES) -> DataFrame:
+    """Links (a, b) that connect all members of a crowd within ``radius`` and ``reach`` and with a share of ``least`` common shingles."""
     parts = F.greatest(F.lit(1), F.ceil(F.sum(F.col("bytes") + 64) / block)).cast("int")
     sized = crowds.join(sets.select("node", "bytes"), "node").groupBy("crowd").agg(parts.alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = crowds.join(sized, "crowd").select("crowd", "node", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     placed = placed.where((F.col("parts") == 1) | (F.col("own") != F.col("other")))
     placed = placed.select("crowd", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = placed.join(nodes.select("node", "fp"), "node").join(sets.select("node", "hashes"), "node")
-    rows = rows.repartition("crowd", "low", "high").sortWithinPartitions("crowd", "low", "high", "fp", "node")
-    return rows.mapInArrow(_crowd_links(radius, least), "a bigint, b bigint")
+    names = word_names(words)
+    rows = placed.join(nodes.select("node", *names), "node").join(sets.select("node", "hashes"), "node")
+    rows = rows.repartition("crowd", "low", "high").sortWithinPartitions("crowd", "low", "high", *names, "node")
+    return rows.mapInArrow(_crowd_links(names, radius, reach, least), "a bigint, b bigint")
 
 
-def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, radius: int, least: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, radius: int, reach: int, words: int, least: float) -> DataFrame:
     """The pairs, and links for those of the crowds, whose texts share at least ``least`` of their shingles; only texts that
     stand in a pair or crowd are read on."""
     some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
@@ -512,7 +573,7 @@ def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: D
     alone = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
     if crowds.isEmpty():
         return alone
-    return alone.unionByName(crowd_links(crowds, nodes, sets, radius, least))
+    return alone.unionByName(crowd_links(crowds, nodes, sets, radius, reach, words, least))
 
 
 def _verify(radius: int, run: int, linked: bool):
@@ -597,21 +658,26 @@ class NearDuplicates:
     Nodes are distinct fingerprints, or with ``similarity`` distinct texts.
     """
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int | None = None, shingle: int = SHINGLE, run: int = RUN, similarity: float | None = None):
-        radius = radius if radius is not None else radius_for(similarity) if similarity else RADIUS
-        made = fingerprints(docs, text_col, id_col, shingle).withColumn("node", F.col("content" if similarity else "fp"))
-        self.rows = written(made, "fingerprints")
-        keeper = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("keeper")
-        distinct = written(self.rows.groupBy("node", "fp").agg(keeper), "distinct")
-        if similarity:
-            pairs, crowds = candidates(distinct.select("node", "fp"), radius, run)
-            joined = similar_pairs(written(pairs, "candidates"), crowds, distinct, docs, text_col, shingle, radius, similarity)
-        else:
-            joined = links(distinct.select("fp"), radius, run)
-        roots = written(components(joined), "roots").withColumnRenamed("node", "member")
-        joined = distinct.join(roots, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "keeper")
-        least = joined.groupBy("root").agg(F.min("keeper").alias("keeper"))
-        self.groups = written(joined.select("node", "root").join(least, "root").select("node", F.col("keeper.id").alias("component_id"), "keeper"), "groups")
+    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int | None = None, shingle: int = SHINGLE, run: int = RUN, similarity: float | None = None, words: int = WORDS):
+        words = words if similarity else 1
+        radius = radius if radius is not None else radius_for(similarity, words) if similarity else RADIUS
+        names = word_names(words)
+        with scratch() as held:
+            made = fingerprints(docs, text_col, id_col, shingle, words, bool(similarity)).withColumn("node", F.col("content" if similarity else "fp"))
+            rows = written(made, "fingerprints")
+            keeper = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("keeper")
+            distinct = written(rows.groupBy("node", *names).agg(keeper), "distinct")
+            if similarity:
+                reach = reach_for(similarity, words)
+                pairs, crowds = candidates(distinct.select("node", *names), radius, reach, words, run)
+                joined = similar_pairs(written(pairs, "candidates"), crowds, distinct, docs, text_col, shingle, radius, reach, words, similarity)
+            else:
+                joined = links(distinct.select("fp"), radius, run)
+            roots = components(joined).withColumnRenamed("node", "member")
+            joined = written(distinct.join(roots, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "keeper"), "joined")
+            least = joined.groupBy("root").agg(F.min("keeper").alias("keeper"))
+            groups = joined.select("node", "root").join(least, "root").select("node", F.col("keeper.id").alias("component_id"), "keeper")
+            self.rows, self.groups = kept(held, rows), kept(held, written(groups, "groups"))
 
     def per_document(self) -> DataFrame:
         joined = self.rows.join(self.groups, "node")

@@ -36,18 +36,23 @@ def templated(n):
     return out
 
 
+def near(x, y, radius, reach):
+    bits = [(a ^ b).bit_count() for a, b in zip(x, y, strict=True)]
+    return min(bits) <= radius and sum(bits) <= reach
+
+
 @pytest.mark.parametrize("block", [1 << 13, simhash.CROWD_BYTES])
 def test_crowded_buckets_lose_no_link(spark, block):
-    texts, radius, least = templated(150), simhash.radius_for(0.8), 0.8
-    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    texts, radius, reach, least = templated(150), simhash.radius_for(0.8), simhash.reach_for(0.8), 0.8
+    fps = [simhash.wide_fingerprint(t.encode(), 5) for t in texts]
     sets = [set(np.concatenate(list(simhash.shingle_hashes(t.encode(), 5))).tolist()) for t in texts]
     n = len(texts)
-    alike = [(i, j) for i in range(n) for j in range(i + 1, n) if (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
-    nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
-    pairs, crowds = simhash.candidates(nodes, radius)
+    alike = [(i, j) for i in range(n) for j in range(i + 1, n) if near(fps[i], fps[j], radius, reach) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    nodes = spark.createDataFrame([(i, *(f - 2**64 if f >> 63 else f for f in x)) for i, x in enumerate(fps)], "node bigint, fp bigint, fp1 bigint")
+    pairs, crowds = simhash.candidates(nodes, radius, reach, 2)
     assert not crowds.isEmpty()
     held = spark.createDataFrame([(i, np.array(sorted(s), "<u8").tobytes(), 8 * len(s)) for i, s in enumerate(sets)], "node bigint, hashes binary, bytes bigint")
-    links = [tuple(x) for x in simhash.crowd_links(crowds, nodes, held, radius, least, block).collect()]
+    links = [tuple(x) for x in simhash.crowd_links(crowds, nodes, held, radius, reach, 2, least, block).collect()]
     assert {tuple(sorted(x)) for x in links} <= set(alike)
     links += [x for x in map(tuple, pairs.collect()) if x in set(alike)]
     assert connected(n, links) == connected(n, alike)
@@ -56,6 +61,46 @@ def test_crowded_buckets_lose_no_link(spark, block):
     assert [got[i] for i in range(n)] == connected(n, alike)
 
 
+def grouped(groups, members, shared, own, seed):
+    """Groups of close texts around one base: ``shared`` words changed per group, ``own`` more per text."""
+    r = random.Random(seed)
+    base, out = [f"w{r.randrange(10**6)}" for _ in range(400)], []
+
+    def changed(words, n):
+        words = list(words)
+        for p in r.sample(range(400), n):
+            words[p] = f"x{r.randrange(10**9)}"
+        return words
+
+    for _ in range(groups):
+        core = changed(base, shared)
+        out += [" ".join(changed(core, own)) for _ in range(members)]
+    return out
+
+
+@pytest.mark.parametrize("groups, members, shared, own", [(30, 12, 10, 3), (1, 200, 0, 4)])
+def test_dense_groups_lose_no_candidate_and_little_else(spark, groups, members, shared, own):
+    texts, radius, reach, least = grouped(groups, members, shared, own, 17), simhash.radius_for(0.8), simhash.reach_for(0.8), 0.8
+    fps = [simhash.wide_fingerprint(t.encode(), 5) for t in texts]
+    sets = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in texts]
+    n = len(texts)
+    similar = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    shown = [(i, j) for i, j in similar if near(fps[i], fps[j], radius, reach)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, similarity=least).collect()}
+    assert [got[i] for i in range(n)] == connected(n, shown)
+    assert len(shown) >= 0.9 * len(similar) > 0 and sum(got[i] == got[j] for i, j in similar) >= 0.95 * len(similar)
+
+
+def test_recall_at_the_threshold():
+    texts = grouped(400, 2, 390, 5, 23)  # pairs of similarity about 0.8
+    sets = [set(simhash.distinct_shingles(t.encode(), 5).tolist()) for t in texts]
+    fps = [simhash.wide_fingerprint(t.encode(), 5) for t in texts]
+    at = [i for i in range(0, len(texts), 2) if 0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85]
+    found = [i for i in at if near(fps[i], fps[i + 1], simhash.radius_for(0.8), simhash.reach_for(0.8))]
+    assert len(at) > 50 and len(found) >= 0.9 * len(at)
+
+
 def test_long_documents_leave_no_gap(spark):
     rows = [(f"a{s}", 10) for s in range(8) for _ in range(300)] + [(f"a{s}", 4000) for s in range(8)] + [("z", 100)] * 250
     docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id bigint, source string, text string")
