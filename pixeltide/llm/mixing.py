@@ -3,20 +3,24 @@
 A document's size is its number of words.  Sources in code-point order (null last) weigh 5, 2, 1, repeating; they share
 all words by weight, but no source gets more than ``max_ratio`` times its own, the excess going to the others by
 weight (water-filling: sort by cap over weight, one running sum).  A source with target/size = w + f takes w certain
-copies of every document.  The rest, f of its words, is an unequal-probability sample without replacement: documents
-are ranked by Pareto's key, random odds U/(1-U) over inclusion odds, and the first of them are taken while their words
-fit; then the largest other document that still fits, again and again until none fits, and at last the one whose size is
-nearest to the words still missing.  A round takes every document of the largest sizes that fit whole, and of the next
-size as many as fit, in the order of ranks: it more than halves the words missing, so rounds grow with their logarithm.
-
-The running sum over ranks never gathers a source: keys fall into ``BUCKETS`` monotone buckets, whose word sums are
-added up; only documents of the one bucket where the target falls are ordered one by one.  The outcome is one small
-table of cut-offs per source, so that the decision on a document is a function of its own row: reruns and lost tasks
-give the same, and no text is shuffled.
-
-Defined cases: null text or one without words has size 0 and is taken as often as its rank says, which adds no words;
-null source is a source of its own, null id draws as the empty string; rows alike in id, source and size draw alike and
-are taken together; no words at all give target 0; an empty table gives an empty result.
+copies of every document.  The rest, f of its words, is an unequal-probability sample without replacement: a document's
+inclusion odds are f/(1-f) times its size over the mean size of its source (times its importance, if given), so that
+long documents are likelier than short ones, and documents are ranked by Pareto's key, random odds U/(1-U) over
+inclusion odds.  Down the ranks every document is taken whose words fit the words still missing; at last the one whose
+size is nearest to the words missing, if that brings the source nearer.  So a source ends within half the smallest
+document left out.
+
+The running sum over ranks never gathers a source.  In rounds, the documents that fit the words missing and rank behind
+the last one taken fall into ``BUCKETS`` monotone buckets, whose word sums are added up; only documents of the one bucket
+where the words run out are ordered one by one.  A round ends before the first document that does not fit any more, and
+the next leaves out all that are larger than what is then missing; each takes at least one document, and what is missing
+falls below the size of the one that ended it, so rounds are few (a handful; their number grows with the logarithm of the
+sizes).  The outcome is one small table of cut-offs per source, so that the decision on a document is a function of its
+own row: reruns and lost tasks give the same, and no text is shuffled.
+
+Defined cases: a very long text counts whole; null text or one without words has size 0 and only its certain copies; null
+source is a source of its own, null id draws as the empty string; rows alike in id, source and size draw alike, count
+together and are taken or left together; no words at all give target 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import broadcast_below, fresh, written
+from pixeltide.llm.common import broadcast_below, fresh, kept, scratch, written
 
 WEIGHTS = (5, 2, 1)
 MAX_RATIO = 3
 SEED = "mix"
 BUCKETS = 4096
-#: Documents after the ranked prefix in the SQL of ``op6_mixing``, which cannot loop; the operator fills on until none fits.
-FILL_ROUNDS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of sources up to so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -49,8 +51,8 @@ def draw(seed: str, key: Column, source: Column, size: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO) -> DataFrame:
-    """source, source_size, target: one row per source."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size, documents (those that have words), target: one row per source."""
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("documents"))
     order = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     cap = F.col("source_size") * max_ratio
     weighed = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (order % len(weights) + 1).cast("int")))
@@ -59,21 +61,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_ratio: int = MAX_RATIO
     whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(before), F.lit(0))
     share = left.cast("double") / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    filled = weighed.select("source", "source_size", "weight", cap.alias("cap"), share.alias("share"), F.row_number().over(level).alias("place"))
+    filled = weighed.select("source", "source_size", "documents", "weight", cap.alias("cap"), share.alias("share"), F.row_number().over(level).alias("place"))
     free = F.when(F.col("cap").cast("double") / F.col("weight") > F.col("share"), F.struct("place", "share"))
     rate = F.min(free).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))["share"]
-    return filled.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), rate * F.col("weight")), F.col("cap").cast("double")).alias("target"))
+    return filled.select("source", "source_size", "documents", F.coalesce(F.least(F.col("cap").cast("double"), rate * F.col("weight")), F.col("cap").cast("double")).alias("target"))
 
 
-def _keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds q, the Pareto key, and its bucket; ``importance`` raises a document's inclusion odds."""
+def _keyed(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """Adds q, the Pareto key, its bucket, and words, those of all rows alike.  ``few``: the plan is small enough to broadcast."""
     plan = plan.withColumnRenamed("source", "plan_source")
-    joined = rows.join(broadcast_below(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    joined = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    length = F.col("size").cast("double") * F.col("documents").cast("double") / F.col("source_size").cast("double")
     odds = F.col("share") / (F.lit(1.0) - F.col("share"))
-    q = (F.col("u") / (F.lit(1.0) - F.col("u"))) / (odds * F.col("importance"))
-    with_q = joined.withColumn("q", F.when((F.col("share") > 0) & (F.col("importance") > 0), q))
+    q = (F.col("u") / (F.lit(1.0) - F.col("u"))) / (odds * (length * F.col("importance")))
+    with_q = joined.withColumn("q", F.when((F.col("share") > 0) & (F.col("importance") > 0) & (F.col("size") > 0), q))
     even = F.col("q") * odds
-    return with_q.withColumn("bucket", F.floor(F.least(even / (even + 1.0), F.lit(1 - 1e-12)) * BUCKETS).cast("int"))
+    return with_q.withColumn("bucket", F.floor(F.least(even / (even + 1.0), F.lit(1 - 1e-12)) * BUCKETS).cast("int")).withColumn("words", F.col("size") * F.col("alike"))
 
 
 class Mix:
@@ -81,13 +84,17 @@ class Mix:
 
     def __init__(self, docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", importance_col: str | None = None, weights=WEIGHTS, max_ratio: int = MAX_RATIO, seed: str = SEED):
         self.names, self.seed = (id_col, text_col, source_col, importance_col), seed
-        rows = written(docs.select(F.col(id_col).alias("id"), *self._own()), "sizes")
-        targets = written(source_targets(rows, weights, max_ratio), "targets")
-        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-        whole = F.floor(ratio)
-        plan = targets.select("source", "source_size", "target", whole.cast("int").alias("whole"), (ratio - whole).alias("share"), (F.col("target") - whole * F.col("source_size")).alias("wanted"))
-        keyed = _keyed(rows, plan)
-        self.rows, self.cuts = rows, written(_cut_offs(keyed, plan), "cuts")
+        with scratch() as held:
+            rows = written(docs.select(F.col(id_col).alias("id"), *self._own()), "sizes")
+            again = written(rows.groupBy(*SAME).agg(F.count("*").alias("n")).where("n > 1"), "again")
+            self.again = None if again.isEmpty() else kept(held, again)
+            targets = written(source_targets(rows, weights, max_ratio), "targets")
+            ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+            whole = F.floor(ratio)
+            plan = targets.select("source", "source_size", "documents", "target", whole.cast("int").alias("whole"), (ratio - whole).alias("share"), (F.col("target") - whole * F.col("source_size")).alias("wanted"))
+            self.few = targets.count() <= BROADCAST_SOURCES
+            cuts = _cut_offs(_keyed(self._counted(rows), plan, self.few).where("q IS NOT NULL"), plan, self.few)
+            self.rows, self.cuts = kept(held, rows), kept(held, written(cuts, "cuts"))
 
     def _own(self) -> list[Column]:
         id_col, text_col, source_col, importance_col = self.names
@@ -96,13 +103,20 @@ class Mix:
         importance = F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)) if importance_col else F.lit(1.0)
         return [source.alias("source"), size.alias("size"), key.alias("key"), draw(self.seed, key, source, size).alias("u"), importance.alias("importance")]
 
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        """Adds alike, the number of rows that draw alike."""
+        if self.again is None:
+            return rows.withColumn("alike", F.lit(1))
+        again = broadcast_below(self.again.select(*[F.col(c).alias(f"again_{c}") for c in SAME], "n"), BROADCAST_SOURCES)
+        joined = rows.join(again, F.expr(" AND ".join(f"{c} <=> again_{c}" for c in SAME)), "left")
+        return joined.withColumn("alike", F.coalesce("n", F.lit(1))).drop(*again.columns)
+
     def decided(self, rows: DataFrame) -> DataFrame:
         """Adds source_size, target and copies to rows that have source, size, key, u and importance."""
-        keyed = _keyed(rows, self.cuts)
+        keyed = _keyed(self._counted(rows), self.cuts, self.few)
         at = F.struct("q", "key")
-        inside = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(at <= F.col("last"), F.lit(False)))
-        chosen = F.coalesce(inside | _extra(at), F.lit(False)) & F.col("q").isNotNull()
-        return keyed.withColumn("copies", F.col("whole") + chosen.cast("int"))
+        chosen = F.exists("cuts", lambda c: F.coalesce((F.col("words") <= c["most"]) & (at >= c["first"]) & (at <= c["last"]), F.lit(False))) & F.col("q").isNotNull()
+        return keyed.withColumn("copies", F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("int"))
 
     def per_document(self) -> DataFrame:
         done = self.decided(self.rows)
@@ -116,94 +130,51 @@ class Mix:
         return done.select(held, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(f"{held}.*")
 
 
-def _cut_offs(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source: edge (bucket of the last rank taken), last (its key), extras (what closes the gap: the sizes
-    from ``least`` to ``most``, and of size ``part`` the ranks up to ``last``)."""
-    live = keyed.where("q IS NOT NULL")
-    sums = live.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+#: Rows alike in these draw alike.
+SAME = ("source", "key", "size")
+CUTS = "array<struct<most:bigint,first:struct<q:double,key:string>,last:struct<q:double,key:string>>>"
+
+
+def _cut_offs(live: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """``plan`` with cuts: of each round the ranks and the most words of what it takes, and at last the nearest document."""
+    start = F.struct(F.lit(-1.0).alias("q"), F.lit("").alias("key"))
+    cut = written(plan.select("source", "wanted", F.lit(0).cast("bigint").alias("got"), F.array().cast(CUTS).alias("cuts"), start.alias("last")), "cut")
+    while True:
+        rest = _rest(live, cut, few).where((F.col("at") > F.col("last")) & (F.col("words") <= F.col("room")))
+        sums = written(rest.groupBy("source", "room", "bucket").agg(F.sum("size").alias("words"), F.max("at").alias("top")), "sums")
+        if sums.isEmpty():
+            break
+        cut = written(_round(rest, sums, cut, few), "cut")
+    off = F.abs(F.col("words") - F.col("gap"))
+    best = _rest(live, cut, few).where(off < F.abs("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("at"), F.col("words"))).alias("best"))
+    best = best.select(F.col("source").alias("s"), F.array(F.struct(F.col("best.words").alias("most"), F.col("best.at").alias("first"), F.col("best.at").alias("last"))).cast(CUTS).alias("one"))
+    done = cut.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("c"), F.concat("cuts", F.coalesce("one", F.array().cast(CUTS))).alias("cuts"))
+    return plan.join(done, F.col("source").eqNullSafe(F.col("c"))).drop("c")
+
+
+def _rest(live: DataFrame, cut: DataFrame, few: bool) -> DataFrame:
+    """Documents no cut-off takes yet, with their rank and the words their source misses, ``gap``, whole ``room``."""
+    own = cut.select(F.col("source").alias("s"), "cuts", "last", (F.col("wanted") - F.col("got")).alias("gap"), (F.floor("wanted") - F.col("got")).alias("room"))
+    joined = live.withColumn("at", F.struct("q", "key")).join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return joined.where(~F.exists("cuts", lambda c: (F.col("words") <= c["most"]) & (F.col("at") <= c["last"])))
+
+
+def _round(rest: DataFrame, sums: DataFrame, cut: DataFrame, few: bool) -> DataFrame:
+    """Down the ranks while the words fit: whole buckets, then documents of the bucket where they run out."""
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
-    wanted = plan.select(F.col("source").alias("s"), F.col("wanted").alias("w"))
-    run = sums.withColumn("upto", upto).join(broadcast_below(wanted, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
-    over = F.when(F.col("upto") > F.col("w"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))
-    edges = run.groupBy("source").agg(F.min(over).alias("at"), F.sum("words").alias("all_words"))
-    edges = edges.select("source", F.coalesce(F.col("at.bucket"), F.lit(BUCKETS)).alias("edge"), F.coalesce(F.col("at.before"), F.col("all_words")).alias("before"))
-    edges = written(edges, "edges")
-    by_source = broadcast_below(edges.withColumnRenamed("source", "s"), BROADCAST_SOURCES)
-    near = live.join(by_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranked = near.where("bucket = edge").withColumn("run", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "key")))
-    fits = ranked.where("run <= wanted").groupBy("source").agg(F.max(F.struct("q", "key")).alias("last"), F.max("run").alias("taken_words"))
-    cut = edges.join(fits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    none = F.array().cast(EXTRAS)
-    cut = written(cut.select("source", "edge", "last", F.coalesce("taken_words", "before").cast("bigint").alias("got"), none.alias("extras")), "cut")
-    wanted = broadcast_below(wanted, BROADCAST_SOURCES)
-    cut = written(cut.join(wanted, F.col("source").eqNullSafe(F.col("s"))).select("source", "edge", "last", "got", "extras", "w"), "cut")
-    chosen = -1
-    while (now := cut.agg(F.sum(F.size("extras"))).first()[0]) != chosen:  # until nothing fits any more
-        chosen = now
-        cut = written(_filled(live, cut), "cut")
-    cut = written(_nearest(live, cut), "cut")
-    return plan.join(cut.select(F.col("source").alias("c"), "edge", "last", "extras"), F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
-
-
-EXTRAS = "array<struct<least:bigint,most:bigint,part:bigint,last:struct<q:double,key:string>>>"
-
-
-def _extra(at: Column) -> Column:
-    """Whether one of the extras holds a row; null fields of an extra hold none."""
-    size = F.col("size")
-    return F.exists("extras", lambda e: F.coalesce(size.between(e["least"], e["most"]), F.lit(False)) | F.coalesce((size == e["part"]) & (at <= e["last"]), F.lit(False)))
-
-
-def _rest(live: DataFrame, cut: DataFrame) -> DataFrame:
-    """Documents with words that no cut-off takes yet, with the words their source misses as ``gap``."""
-    per = broadcast_below(cut.select(F.col("source").alias("s"), "edge", "last", "extras", (F.col("w") - F.col("got")).alias("gap")), BROADCAST_SOURCES)
-    at = F.struct("q", "key")
-    rest = live.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rest = rest.where((F.col("bucket") > F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(at > F.col("last"), F.lit(True))))
-    return rest.where((F.col("size") > 0) & ~_extra(at)).select("source", "size", "bucket", "q", "key", "gap")
-
-
-def _added(cut: DataFrame, extra: DataFrame) -> DataFrame:
-    """``extra``: s, words and the fields of one more extra, for some of the sources."""
-    one = F.array(F.struct("least", "most", "part", F.col("upto").alias("last"))).cast(EXTRAS)
-    extra = extra.select("s", "words", one.alias("one"))
-    joined = cut.join(extra, F.col("source").eqNullSafe(F.col("s")), "left")
-    extras = F.when(F.col("one").isNull(), F.col("extras")).otherwise(F.concat("extras", "one"))
-    return joined.select("source", "edge", "last", (F.col("got") + F.coalesce("words", F.lit(0))).alias("got"), extras.alias("extras"), "w")
-
-
-def _filled(live: DataFrame, cut: DataFrame) -> DataFrame:
-    """One round per source: the largest sizes that fit whole, then as many documents of the next size as fit."""
-    rest = _rest(live, cut).where("size <= gap")
-    sizes = written(rest.groupBy("source", "gap", "size", "bucket").agg(F.count("*").alias("n")), "rest")
-    by_size = sizes.groupBy("source", "gap", "size").agg((F.sum("n") * F.col("size")).alias("words"))
-    run = by_size.withColumn("run", F.sum("words").over(W.partitionBy("source").orderBy(F.desc("size"))))
-    fits, first = F.col("run") <= F.col("gap"), F.col("run") > F.col("gap")
-    over = F.max(F.when(first, F.struct("size", (F.col("run") - F.col("words")).alias("before"))))
-    ends = run.groupBy("source", "gap").agg(over.alias("over"), F.max(F.when(fits, F.col("size"))).alias("most"), F.min(F.when(fits, F.col("size"))).alias("least"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).alias("whole"))
-    room = F.floor((F.col("gap") - F.col("over.before")) / F.col("over.size")).cast("bigint")
-    ends = written(ends.select(F.col("source").alias("s"), "least", "most", "whole", F.when(room > 0, F.col("over.size")).alias("part"), room.alias("room")), "ends")
-    # of the size that fits in part: the bucket its last document falls in, then the document
-    some = broadcast_below(ends.where("part IS NOT NULL").select("s", "part", "room"), BROADCAST_SOURCES)
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("part"))
-    upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket"))
-    places = sizes.join(some, same).withColumn("upto", upto).where("upto >= room").groupBy("s", "part", "room").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("at"))
-    places = written(places.select("s", "part", "room", "at.bucket", "at.before").withColumnRenamed("bucket", "b"), "places")
-    ranked = rest.join(broadcast_below(places, BROADCAST_SOURCES), same & (F.col("bucket") == F.col("b")))
-    rank = F.col("before") + F.count("*").over(W.partitionBy("source").orderBy("q", "key"))  # rows alike have one rank
-    last = ranked.withColumn("rank", rank).where("rank >= room").groupBy("source").agg(F.min(F.struct("rank", "q", "key")).alias("x"))
-    last = last.select(F.col("source").alias("l"), F.col("x.rank").alias("rank"), F.struct("x.q", "x.key").alias("upto"))
-    extra = ends.join(last, F.col("s").eqNullSafe(F.col("l")), "left")
-    words = F.col("whole") + F.coalesce(F.col("rank") * F.col("part"), F.lit(0))
-    return _added(cut, extra.select("s", "least", "most", "part", "upto", words.cast("bigint").alias("words")))
-
-
-def _nearest(live: DataFrame, cut: DataFrame) -> DataFrame:
-    """One more document per source: the one whose size is nearest to the words missing, if that brings it nearer."""
-    off = F.abs(F.col("size") - F.col("gap"))
-    best = _rest(live, cut).where(off < F.abs("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key", "size")).alias("best"))
-    no = F.lit(None).cast("bigint")
-    return _added(cut, best.select(F.col("source").alias("s"), no.alias("least"), no.alias("most"), F.col("best.size").alias("part"), F.struct("best.q", "best.key").alias("upto"), F.col("best.size").alias("words")))
+    run = sums.withColumn("upto", upto)
+    over, fits = F.col("upto") > F.col("room"), F.col("upto") <= F.col("room")
+    ends = run.groupBy("source").agg(F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("edge"), F.max(F.when(fits, F.col("upto"))).alias("whole"), F.max(F.when(fits, F.col("top"))).alias("whole_top"))
+    ends = ends.select(F.col("source").alias("s"), F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"), "whole", "whole_top")
+    edges = ends.where("edge IS NOT NULL").select("s", "edge", "before")
+    ordered = rest.join(F.broadcast(edges) if few else edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge")))
+    ordered = ordered.select("source", "room", "at", (F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("at"))).alias("run"))
+    inside = ordered.where("run <= room").groupBy("source").agg(F.max("run").alias("run"), F.max("at").alias("top")).withColumnRenamed("source", "i")
+    taken = ends.join(inside, F.col("s").eqNullSafe(F.col("i")), "left").select("s", F.coalesce("run", "whole").alias("more"), F.coalesce("top", "whole_top").alias("top"))
+    joined = cut.join(taken, F.col("source").eqNullSafe(F.col("s")), "left")
+    start = F.struct(F.lit(-1.0).alias("q"), F.lit("").alias("key"))
+    one = F.array(F.struct((F.floor("wanted") - F.col("got")).alias("most"), start.alias("first"), F.col("top").alias("last"))).cast(CUTS)
+    return joined.select("source", "wanted", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), F.when(F.col("top").isNull(), F.col("cuts")).otherwise(F.concat("cuts", one)).alias("cuts"), F.coalesce("top", "last").alias("last"))
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:

@@ -78,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_license_scan, op3_token_counts, op4_language_id, op5_bpe, op6_mixing, op7_simhash, op8_topk, op9_exact_dedup, op10_suffix_dedup, pipeline)}
 
 OP6_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
@@ -86,7 +86,7 @@ WITH sized AS (
   SELECT *, (CAST(('0x' || substr(md5('mix:' || k || ':' || coalesce(source, '') || ':' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized
 ), by_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM drawn GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS documents FROM drawn GROUP BY source
 ), weighed AS (
   SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight, source_size * 3 AS cap FROM by_source
 ), filled AS (
@@ -98,35 +98,33 @@ WITH sized AS (
 ), rated AS (
   SELECT *, arg_min(share, place) FILTER (WHERE CAST(cap AS DOUBLE) / weight > share) OVER () AS rate FROM filled
 ), plan AS (
-  SELECT source AS s, source_size, coalesce(least(CAST(cap AS DOUBLE), rate * weight), CAST(cap AS DOUBLE)) AS target FROM rated
+  SELECT source AS s, source_size, documents, coalesce(least(CAST(cap AS DOUBLE), rate * weight), CAST(cap AS DOUBLE)) AS target FROM rated
 ), ratios AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
          CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS share,
          target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS wanted FROM plan
 ), keyed AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.wanted, p.s,
-         CASE WHEN p.share > 0 THEN (u / (1.0::DOUBLE - u)) / (p.share / (1.0::DOUBLE - p.share)) END AS q
+         CASE WHEN p.share > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / ((p.share / (1.0::DOUBLE - p.share)) * ((CAST(size AS DOUBLE) * CAST(p.documents AS DOUBLE) / CAST(p.source_size AS DOUBLE)) * 1.0::DOUBLE)) END AS q
   FROM drawn d JOIN ratios p ON d.source IS NOT DISTINCT FROM p.s
-), ranked AS (
-  SELECT *, CASE WHEN q IS NOT NULL THEN sum(size) OVER (PARTITION BY s, q IS NULL ORDER BY q, k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS run FROM keyed
-), cut0 AS (
-  SELECT *, coalesce(run <= wanted, false) AS chosen FROM ranked
-)"""
-
-#: One document more per source: the largest that fits, in the last round the one nearest to the words missing.
-OP6_ROUND = """, got{0} AS (
-  SELECT *, wanted - CAST(coalesce(sum(size) FILTER (WHERE chosen) OVER (PARTITION BY s), 0) AS BIGINT) AS gap FROM cut{0}
-), offer{0} AS (
-  SELECT *, CASE WHEN q IS NOT NULL AND NOT chosen AND size > 0 AND {2} THEN struct_pack(off := abs(size - gap), q := q, k := k) END AS offer FROM got{0}
-), best{0} AS (
-  SELECT *, min(offer) OVER (PARTITION BY s) AS best FROM offer{0}
-), cut{1} AS (
-  SELECT * EXCLUDE (gap, offer, best, chosen), chosen OR coalesce(best.q = q AND best.k = k, false) AS chosen FROM best{0}
-)"""
-
-OP6_SQL += "".join(OP6_ROUND.format(i, i + 1, "size <= gap" if i < mixing.FILL_ROUNDS else "abs(size - gap) < abs(gap)") for i in range(mixing.FILL_ROUNDS + 1))
-OP6_SQL += f"""
-SELECT doc_id, size, source_size, target, CAST((whole + CAST(chosen AS INTEGER)) * size AS BIGINT) AS taken FROM cut{mixing.FILL_ROUNDS + 1}
+), units AS (
+  SELECT s, q, k, wanted, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (PARTITION BY s ORDER BY q, k) AS rank FROM keyed WHERE q IS NOT NULL GROUP BY s, q, k, wanted
+), walk AS (
+  SELECT s, 0::BIGINT AS rank, 0::BIGINT AS got, false AS chosen FROM ratios
+  UNION ALL
+  SELECT w.s, u.rank, w.got + CASE WHEN w.got + u.words <= u.wanted THEN u.words ELSE 0 END, w.got + u.words <= u.wanted
+  FROM walk w JOIN units u ON u.s IS NOT DISTINCT FROM w.s AND u.rank = w.rank + 1
+), gaps AS (
+  SELECT s, max(got) AS got FROM walk GROUP BY s
+), judged AS (
+  SELECT u.*, w.chosen, u.wanted - g.got AS gap FROM units u JOIN walk w ON u.s IS NOT DISTINCT FROM w.s AND u.rank = w.rank JOIN gaps g ON u.s IS NOT DISTINCT FROM g.s
+), last AS (
+  SELECT s, min(struct_pack(off := abs(words - gap), q := q, k := k)) AS best FROM judged WHERE NOT chosen AND abs(words - gap) < abs(gap) GROUP BY s
+), decided AS (
+  SELECT j.s, j.q, j.k, j.chosen OR coalesce(l.best.q = j.q AND l.best.k = j.k, false) AS chosen FROM judged j LEFT JOIN last l ON j.s IS NOT DISTINCT FROM l.s
+)
+SELECT d.doc_id, d.size, d.source_size, d.target, CAST((d.whole + coalesce(CAST(c.chosen AS INTEGER), 0)) * d.size AS BIGINT) AS taken
+FROM keyed d LEFT JOIN decided c ON d.s IS NOT DISTINCT FROM c.s AND d.q = c.q AND d.k = c.k
 """
 
 OP8_SQL = """

@@ -101,11 +101,40 @@ def test_recall_at_the_threshold():
     assert len(at) > 50 and len(found) >= 0.9 * len(at)
 
 
-def test_long_documents_leave_no_gap(spark):
+def slack(sizes):
+    """How far a greedy choice may end from its target: half of the smallest unit left out."""
+    return min((n for n, taken in sizes if n and not taken), default=0) / 2 + 1e-6
+
+
+def test_mixes_come_near_their_targets(spark):
     rows = [(f"a{s}", 10) for s in range(8) for _ in range(300)] + [(f"a{s}", 4000) for s in range(8)] + [("z", 100)] * 250
+    rows += [(s, 50) for s in "bcd" for _ in range(400)] + [(s, 20_000) for s in "bcd"]
     docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id bigint, source string, text string")
-    found = mixing.mix_sizes(docs, weights=(1,)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
-    assert {r["source"]: r["sum(taken)"] for r in found} == {r["source"]: r["max(target)"] for r in found} == {s: 9000 for s, _ in rows}
+    alike = docs.limit(0).unionByName(spark.createDataFrame([(None, "e", "v " * 7)] * 300 + [(i % 50, "e", "v " * (3 + i % 50)) for i in range(1000)] + [(i, "f", "u " * 5) for i in range(900)], "doc_id bigint, source string, text string"))
+    mix = mixing.Mix(docs.unionByName(alike), weights=(1, 2))
+    found = mix.per_document().collect()
+    for source in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == source]
+        units = {}
+        for r in own:
+            n, whole = units.get((r["id"], r["size"]), (0, r["copies"]))[0], int(r["target"] // r["source_size"])
+            assert r["copies"] in (whole, whole + 1) and units.get((r["id"], r["size"]), (0, r["copies"]))[1] == r["copies"]  # rows alike go together
+            units[r["id"], r["size"]] = (n + r["size"], r["copies"])
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= slack([(n, c > whole) for n, c in units.values()])
+    mixed = {tuple(r) for r in mix.mixed(docs.unionByName(alike)).groupBy("doc_id", "source", "text").count().collect()}
+    want = {}
+    for r in found:
+        want[r["id"], r["source"], r["size"]] = want.get((r["id"], r["source"], r["size"]), 0) + r["copies"]
+    assert {(i, s, len(t.split())): n for i, s, t, n in mixed} == {k: n for k, n in want.items() if n}
+
+
+def test_longer_documents_are_likelier(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id < 3000, 'a', 'b') AS source", "repeat('w ', IF(id % 2 = 0, 5, 45)) AS text")
+    got = mixing.mix_sizes(docs, weights=(1, 3)).where("source = 'a'").collect()
+    short, long = (sum(r["copies"] for r in got if r["id"] % 2 == k) for k in (0, 1))
+    # a sample of half the words; inclusion odds of 0.2 and 1.8 over a common factor
+    assert sum(r["taken"] for r in got) == 37_500 and 2 * short < long
+    assert {r["copies"] for r in got} == {0, 1}
 
 
 def test_long_vectors_behind_short_ones_are_scored():
