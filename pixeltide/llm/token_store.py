@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, bounded_batches, new_path, slices, written
+from pixeltide.llm.common import batch_of, bounded_batches, new_path, release, slices, written
 from pixeltide.llm.word_memory import broadcast_model, encoder_of, tokenizer_of
 
 MAX_LENGTH = 20
@@ -228,6 +228,8 @@ def write_token_store(docs: DataFrame, path: str, model_path: str, end_id: int =
     book = spark.sparkContext.broadcast((symbols.tobytes(), lengths.tobytes()))
     dealt = tokens.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     dealt.mapInArrow(_pack(book, block_tokens, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    book.destroy()
+    release(tokenised)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per file
     before, starts = 0, []

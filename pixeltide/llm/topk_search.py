@@ -3,8 +3,9 @@
 Components become integers floor(256 x), so scores are exact.  The second-moment matrix of all vectors (summed per
 task) gives the rotation whose leading coordinates hold most of every product.  Vectors are range-partitioned and
 sorted by descending length and written once.  Queries - a stated set of rows - go through in blocks of
-``QUERY_BLOCK`` or ``QUERY_BYTES`` at most, each broadcast; a task reads its files, each longest first, and keeps the k best
-of each query:
+``QUERY_BYTES`` of vectors at most, each broadcast for one pass over the vectors and destroyed after it; all passes append
+their winners to one table, which holds k rows per query and task at most.  A task reads its files, each longest first,
+and keeps the k best of each query:
 
 * |q| |x| below the k-th best score for the longest of a block of vectors: that query skips the block;
 * head product plus |q_tail| |x_tail| (Cauchy-Schwarz on the coordinates left out) below the k-th best: skipped;
@@ -29,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixeltide.llm.common import batch_of, empty, written
+from pixeltide.llm.common import batch_of, empty, new_path, release, written
 
 SCALE, K = 256, 5
-QUERY_BLOCK, HEAD = 4096, 2048
-#: Most bytes of a block's vectors, which bounds the broadcast whatever their dimension.
-QUERY_BYTES = 32 << 20
-#: Vectors scored at once; scores of a block of queries against them bound a task's memory.
-VECTOR_BLOCK = 1024
+HEAD = 2048
+#: Most bytes of a block's vectors, which bounds the broadcast whatever their dimension; at 64 components 65,536 queries.
+QUERY_BYTES = 64 << 20
+#: Scores held at once: vectors scored together follow from the number of queries.
+SCORES = 1 << 22
 HEAD_SHARE = 0.9
 EXACT = float(2**53)
 RESULT = "query_id bigint, vec_id bigint, score bigint"
@@ -138,8 +139,9 @@ def scan(best: Best, ids: np.ndarray, x: np.ndarray) -> None:
     queries = best.queries
     length = np.sqrt((x * x).sum(1))
     slack = 1e-6
-    for s in range(0, len(ids), VECTOR_BLOCK):
-        some, some_ids, some_len = x[s : s + VECTOR_BLOCK], ids[s : s + VECTOR_BLOCK], length[s : s + VECTOR_BLOCK]
+    step = max(16, min(1024, SCORES // max(1, len(queries.ids))))
+    for s in range(0, len(ids), step):
+        some, some_ids, some_len = x[s : s + step], ids[s : s + step], length[s : s + step]
         live = np.flatnonzero(queries.length * some_len.max(initial=0) * (1 + slack) + slack >= best.floor)
         if not len(live):
             continue  # a batch may hold the start of another file, whose vectors are longer
@@ -193,15 +195,18 @@ def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield held
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = K, vector_col: str = "embedding", id_col: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows for every query row; ``is_query`` is a condition on id_col's table."""
+def top_k(table: DataFrame, is_query: Column, k: int = K, vector_col: str = "embedding", id_col: str = "vec_id", block: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows for every query row; ``is_query`` is a condition on id_col's table.
+
+    ``block``: most queries of a pass, if less than ``QUERY_BYTES`` hold.
+    """
     spark = table.sparkSession
     flag = table.where(F.coalesce(is_query, F.lit(False)))
     vectors, queries = integer_vectors(table, vector_col, id_col), integer_vectors(flag, vector_col, id_col)
     vectors = vectors.withColumn("length", F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     vectors = written(vectors.repartitionByRange(F.desc("length")).sortWithinPartitions(F.desc("length"), "id"), "vectors")
     queries = written(queries.groupBy("id").agg(F.min("v").alias("v")).orderBy("id"), "queries")
-    found: DataFrame | None = None
+    path, passes = new_path(spark, "scores"), 0
     dims = [r[0] for r in queries.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
     for dim in dims:
         alike = vectors.where(F.size("v") == dim)
@@ -209,16 +214,19 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, vector_col: str = "emb
         longest = alike.orderBy(F.desc("length"), "id").limit(HEAD).collect()
         head_ids = np.array([r["id"] for r in longest], np.int64)
         head_x = np.array([r["v"] for r in longest], np.float64).reshape(len(longest), dim)
-        for rows in _query_blocks(queries.where(F.size("v") == dim), max(1, min(block, QUERY_BYTES // (16 * dim)))):
+        for rows in _query_blocks(queries.where(F.size("v") == dim), max(1, min(block or QUERY_BYTES, QUERY_BYTES // (16 * dim)))):
             made = Queries(np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dim), basis, head, k)
             if len(longest):
                 first = Best(made)
                 scan(first, head_ids, head_x)
                 made.floor = np.maximum(made.floor, first.floor)
-            one = alike.select("id", "v").mapInArrow(_task(spark.sparkContext.broadcast(made)), RESULT)
-            one = written(one, "scores")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+            sent = spark.sparkContext.broadcast(made)
+            alike.select("id", "v").mapInArrow(_task(sent), RESULT).write.mode("append").parquet(path)
+            sent.destroy()
+            passes += 1
+    release(vectors, queries)
+    if not passes:
         return empty(spark, "query_id bigint, rank int, vec_id bigint, score bigint")
+    found = spark.read.schema(RESULT).parquet(path)
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
