@@ -7,13 +7,14 @@ whole in ``FOLDS`` folds, templates and texts of no family (sibling licences amo
 minimises their log-loss, and a family is only predicted above the lowest probability at which ``PRECISION`` of the
 held-out predictions are right; any other paragraph that speaks of licences or rights is ``unknown``.
 
-Scan: a paragraph (line) can only score if it has an n-gram of the vocabulary, and every such n-gram has one of the
-``anchors`` words, so one regular expression finds all paragraphs to score, exactly.  Those are cut into n-grams, which
-meet the model's weights as literals: a projection of each document, without shuffle.  A prediction is confirmed if
-the family's templates hold at least ``CONTAINED`` of the paragraph's trigrams near its matches, or most of the
-template's words stand in the paragraph.
-
-Defined cases: null or empty text has no notices; one row per input row, ids may be null or repeated; ties between
+Scan: a text is split into paragraphs at blank lines and at line ends behind a sentence's end, so that wrapped lines stay
+together (``BREAKS``).  A paragraph can only score if it has an n-gram of the vocabulary, and every such n-gram has one of
+the ``anchors`` words, so one regular expression finds all paragraphs to score, exactly, and only the n-grams around
+anchors are made.  They meet the model's weights as literals: a projection of each document, without shuffle.  A
+prediction is confirmed if the family's templates hold at least ``CONTAINED`` of the paragraph's trigrams, or as many as
+its shortest template has.
+
+Defined cases: a very long text is scanned whole; null or empty text has no notices; one row per input row, ids may be null or repeated; ties between
 families go to the first in ``FAMILIES``; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -118,6 +119,8 @@ MARKS = {
 }
 NGRAMS = (1, 2, 3)
 WORD = r"[a-z0-9]+"
+#: Where paragraphs end: blank lines, line ends behind a sentence, and line ends before an identifier line.
+BREAKS = r"\n[ \t\r]*\n|(?<=[.!?;:])[ \t\r]*\n|\n(?=[^a-z0-9\n]*spdx)"
 #: Function words; an n-gram needs one word besides them to enter the vocabulary.
 COMMON = set("a an and any are at be by can for found from had he her his if in is it its may new no not of on one or out she so that the this to use was were will with you your".split())
 MAX_ROWS, PRECISION, CONTAINED, WINDOWS = 20_000, 0.95, 0.5, (4, 6, 9, 14)
@@ -171,7 +174,7 @@ def _fitted(spark: SparkSession, rows: list[tuple[int, list[str]]], l1: float) -
         return Vectors.sparse(len(index), sorted((index[g], 1.0) for g in grams_of(words) if g in index))
 
     frame = spark.createDataFrame([(float(y), vector(w)) for y, w in rows], ["label", "features"]).coalesce(1)
-    fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=l1, standardization=False, maxIter=150).fit(frame)
+    fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=l1, standardization=False, maxIter=60).fit(frame)
     table, intercepts = fit.coefficientMatrix.toArray(), tuple(map(float, fit.interceptVector.toArray()))
     return {g: tuple(map(float, table[:, i])) for g, i in index.items() if table[:, i].any()}, intercepts
 
@@ -259,6 +262,17 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _grams_around(words: Column, anchors: tuple[str, ...]) -> Column:
+    """All n-grams that hold an anchor word."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.get(words, i - 1).isin(*anchors))
+
+    def held(i: Column) -> Column:
+        spans = [(i - back, n) for n in NGRAMS for back in range(n)]
+        return F.array(*[F.when((at >= 1) & (at + (n - 1) <= F.size(words)), F.array_join(F.slice(words, F.greatest(at, F.lit(1)), n), " ")) for at, n in spans])
+
+    return F.filter(F.flatten(F.transform(places, held)), lambda g: g.isNotNull())
+
+
 def notices(text: Column, model: Model) -> Column:
     """array<struct<paragraph, family, score, confirmed>> of the paragraphs that read like a licence."""
     pattern = rf"(?<![a-z0-9])(?:{'|'.join(model.anchors)})(?![a-z0-9])"
@@ -270,36 +284,41 @@ def notices(text: Column, model: Model) -> Column:
 
     def scored(paragraph: Column) -> Column:
         words = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
-        return F.transform(F.array(words), lambda w: _classified(w)).getItem(0)
+        return F.transform(F.array(words), _classified).getItem(0)
 
     def _classified(words: Column) -> Column:
-        grams = F.concat(*[_grams(words, n) for n in NGRAMS])
-        matched = F.array_intersect(grams, _array(vocabulary))
-        total = F.aggregate(matched, _array(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
-        return F.transform(F.array(F.struct(matched.alias("matched"), total.alias("total"), F.array_distinct(_grams(words, 3)).alias("three"), F.array_join(words, " ").alias("joined"))), _decided).getItem(0)
+        matched = F.array_distinct(F.filter(_grams_around(words, model.anchors), lambda g: g.isin(*vocabulary)))
+        return F.transform(F.array(F.struct(matched.alias("matched"), words.alias("words"), F.array_join(words, " ").alias("joined"))), _decided).getItem(0)
 
     def _decided(x: Column) -> Column:
+        total = F.aggregate(x["matched"], _array(model.intercepts), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
+        return F.transform(F.array(F.struct(total.alias("total"), x["matched"].alias("matched"), x["words"].alias("words"), x["joined"].alias("joined"))), _ruled).getItem(0)
+
+    def _ruled(x: Column) -> Column:
         ruled = F.array(*[F.when(x["joined"].rlike(has) & ~x["joined"].rlike(sibling), x["total"][k]).otherwise(F.lit(RULED_OUT)) for k, (has, sibling) in enumerate(MARKS.values())], x["total"][len(model.families)])
-        return F.transform(F.array(F.struct(ruled.alias("total"), x["matched"].alias("matched"), x["three"].alias("three"))), _shared).getItem(0)
+        return F.transform(F.array(F.struct(ruled.alias("total"), x["matched"].alias("matched"), x["words"].alias("words"))), _shared).getItem(0)
 
     def _shared(x: Column) -> Column:
         top = F.array_max(x["total"])
         odds = F.transform(x["total"], lambda s: F.exp((s - top) / model.temperature))
         share = F.transform(odds, lambda e: e / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
-        return F.transform(F.array(F.struct(share.alias("share"), x["matched"].alias("matched"), x["three"].alias("three"))), _named).getItem(0)
+        return F.transform(F.array(F.struct(share.alias("share"), x["matched"].alias("matched"), x["words"].alias("words"))), _named).getItem(0)
 
     def _named(x: Column) -> Column:
         families = F.slice(x["share"], 1, len(model.families))
         best = F.array_max(families)
-        place = F.array_position(families, best).cast("int")
-        shared = F.element_at(F.array(*[F.size(F.array_intersect(x["three"], _array(t))) for t in trigrams]), place)
+        three = F.when(best >= model.threshold, F.array_distinct(_grams(x["words"], 3)))
+        return F.transform(F.array(F.struct(families.alias("families"), best.alias("best"), three.alias("three"), x["matched"].alias("matched"))), _confirmed).getItem(0)
+
+    def _confirmed(x: Column) -> Column:
+        place = F.array_position(x["families"], x["best"]).cast("int")
+        shared = F.coalesce(*[F.when(place == k + 1, F.size(F.array_intersect(x["three"], _array(t)))) for k, t in enumerate(trigrams)])
         needed = F.element_at(_array(shortest), place)
-        contained = shared >= F.least(F.ceil(F.size(x["three"]) * CONTAINED), needed)
-        sure = (best >= model.threshold) & contained & (shared > 0)
-        alike = sure | (F.size(F.filter(x["matched"], lambda g: g.rlike("licen|rights reserved|copyright|spdx"))) > 0)
-        return F.struct(F.when(sure, F.element_at(_array(classes), place)).otherwise(F.lit(UNKNOWN)).alias("family"), best.alias("score"), sure.alias("confirmed"), alike.alias("alike"))
+        sure = F.when(x["three"].isNull(), F.lit(False)).otherwise((shared >= F.least(F.ceil(F.size(x["three"]) * CONTAINED), needed)) & (shared > 0))
+        alike = sure | F.exists(x["matched"], lambda g: g.rlike("licen|rights reserved|copyright|spdx"))
+        return F.struct(F.when(sure, F.element_at(_array(classes), place)).otherwise(F.lit(UNKNOWN)).alias("family"), x["best"].alias("score"), sure.alias("confirmed"), alike.alias("alike"))
 
-    lines = F.transform(F.split(F.lower(text), "\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
+    lines = F.transform(F.split(F.lower(text), BREAKS), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
     some = F.filter(lines, lambda p: p["line"].rlike(pattern))
     judged = F.transform(some, lambda p: F.struct(p["paragraph"].alias("paragraph"), scored(p["line"]).alias("found")))
     judged = F.filter(judged, lambda p: p["found"]["alike"])

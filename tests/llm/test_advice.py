@@ -167,3 +167,39 @@ def test_sibling_licences_are_unknown(spark):
     assert got == dict.fromkeys(range(len(siblings)), ("", 1)) | {len(siblings): ("cc-by-nc-4.0", 0)}
     folds = {label: {fold for y, _, fold, whole in license_scan._labelled(license_scan.MAX_ROWS) if y == label and whole} for label in range(len(license_scan.FAMILIES) + 1)}
     assert all(len(at) > 1 for at in folds.values()) and len(folds[len(license_scan.FAMILIES)]) == license_scan.FOLDS
+
+
+def slow_notices(text, model):
+    """Each paragraph scored by itself in Python."""
+    import re
+
+    found = []
+    for place, paragraph in enumerate(re.split(license_scan.BREAKS, (text or "").lower())):
+        words = license_scan.words_of(paragraph)
+        matched = license_scan.grams_of(words) & set(model.weights)
+        if not matched:
+            continue
+        share = license_scan.softmax(license_scan.possible(words, license_scan.scores_of(words, model.weights, model.intercepts)), model.temperature)[: len(model.families)]
+        best = max(share)
+        family = share.index(best)
+        three = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+        templates = [license_scan.words_of(t) for t in license_scan.FAMILIES[model.families[family]]]
+        cut = [{" ".join(w[i : i + 3]) for i in range(len(w) - 2)} for w in templates]
+        shared = len(three & set().union(*cut))
+        sure = best >= model.threshold and shared > 0 and shared >= min(-(-len(three) * license_scan.CONTAINED // 1), min(len(c) or 1 for c in cut))
+        if sure or any(re.search("licen|rights reserved|copyright|spdx", g) for g in matched):
+            found.append((place, model.families[family] if sure else license_scan.UNKNOWN, pytest.approx(best, abs=1e-9), sure))
+    return found
+
+
+def test_license_scan_is_the_model(spark, sf_dir):
+    model = license_scan.train(spark)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    notices = [t for some in license_scan.FAMILIES.values() for t in some] + license_scan.OTHERS
+    r = random.Random(3)
+    texts += [None, "", *notices, *("\n".join(r.choices(notices, k=3)) for _ in range(40)), *(t[: len(t) // 2] + r.choice(["\n", " \n\n", "\n# "]) + t[len(t) // 2 :] for t in notices)]
+    texts += ["# This work is licensed under the\n# GNU General Public License,\n# version 3.\nprint(1)", "a plain line\nSPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    got = {x["id"]: [tuple(n) for n in x["notices"] or []] for x in license_scan.scan_licenses(docs, model).collect()}
+    assert got == {i: slow_notices(t, model) for i, t in enumerate(texts)}
+    assert [n[1] for n in got[len(texts) - 2]] == ["gpl-3.0"] and [n[1] for n in got[len(texts) - 1]] == ["mit", "apache-2.0"]
