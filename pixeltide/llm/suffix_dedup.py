@@ -8,7 +8,9 @@ A byte of document d goes if some string of ``length`` bytes that covers it also
    third of all documents sharing a passage adds one entry per slice), and gets back one bit per hash: is it found in
    two documents or more?
 3. Only windows of shared anchors go on.  A slice sends the text around them, each distinct string once with the least
-   document that has it, to the anchor's bucket.
+   document that has it, to the anchor's bucket.  Of an anchor that more than ``HOT`` slices have (a passage that a
+   third of all documents share, whose ends stand next to ever new text), every window goes by itself, to the bucket of
+   its own hash, so that no bucket gathers the surroundings of a frequent anchor.
 4. In a bucket, windows whose surroundings differ are sorted: a multikey quicksort, run for all groups at once, orders
    suffixes up to ``SHALLOW`` bytes; groups that still agree are ordered by blind tries, which compare each suffix with
    one other only.  Neighbours that agree in ``length`` bytes form a class; its least document is the answer.
@@ -18,14 +20,15 @@ Every message is bounded by its slice or its bucket and travels compressed; the
 bytes.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; a null id counts as larger than
-all others; documents of equal id take nothing from each other; one row per input row; an empty table gives an empty
-result; other columns are ignored.
+all others; a very long text is a slice of its own, cut nowhere; documents of equal id take nothing from each other; one row
+per input row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ SLICE = 1 << 20
 CHUNK = 1 << 20
 SHALLOW = 24
 BUCKET_BYTES = 1 << 20
+#: Slices with one anchor beyond which its windows are dealt out one by one.
+HOT = 1024
 #: Contexts whose windows are sorted together; groups are never split.
 SORTED_CONTEXTS = 4096
 NO_DOC = 2**63 - 1
@@ -254,7 +259,7 @@ class Slice:
         self.order = np.array([NO_DOC if i is None else i for i in self.ids], np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.raw, self.length = unpacked(row["data"]), length
+        self.raw, self.length, self.buckets = unpacked(row["data"]), length, buckets
         self.data = np.frombuffer(self.raw, np.uint8)
         self.at, h, self.first, self.last = anchors(self.data, self.ends, length, gram)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
@@ -269,37 +274,55 @@ class Slice:
         for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
             yield int(self.bucket[a]), a, b
 
-    def flagged(self, marks: list[dict]) -> np.ndarray:
-        """Numbers of the anchors whose cell a bucket found shared."""
-        bits = {m["bucket"]: m["bits"] for m in marks}
-        shared = np.zeros(len(self.cells), bool)
+    def flagged(self, marks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the anchors whose cell a bucket found shared, and which of them are hot."""
+        bits = {m["bucket"]: m for m in marks}
+        shared, hot = np.zeros(len(self.cells), bool), np.zeros(len(self.cells), bool)
         for bucket, a, b in self.per_bucket():
             if bucket in bits:
-                shared[a:b] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=b - a)
-        return np.flatnonzero(shared[self.cell])
-
-    def contexts(self, marks: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[int, dict[bytes, list[int]]]]:
-        """Flagged anchors, the number of each one's context within its bucket, and contexts by bucket.
-
-        A context is the text of all windows of an anchor, led by the anchor's offset in it; its value is [number, least
-        document].
-        """
-        flagged = self.flagged(marks)
-        raw, tail, found = self.raw, self.length, {}
-        order, number = self.order[self.doc[flagged]].tolist(), []
-        rows = zip(self.first[flagged].tolist(), self.last[flagged].tolist(), self.at[flagged].tolist(), self.bucket[self.cell[flagged]].tolist(), order, strict=True)
-        for p, q, at, bucket, doc in rows:
-            own = found.get(bucket)
+                shared[a:b] = np.unpackbits(np.frombuffer(bits[bucket]["bits"], np.uint8), count=b - a)
+                if bits[bucket]["hot"]:
+                    hot[a:b] = np.unpackbits(np.frombuffer(bits[bucket]["hot"], np.uint8), count=b - a)
+        flagged = np.flatnonzero(shared[self.cell])
+        return flagged, hot[self.cell[flagged]]
+
+    def contexts(self, marks: list[dict]) -> "Contexts":
+        """The contexts of all flagged anchors: the text of all windows of an anchor, or of one window of a hot anchor."""
+        flagged, hot = self.flagged(marks)
+        count = np.where(hot, self.last[flagged] - self.first[flagged] + 1, 1)
+        rep = np.repeat(np.arange(len(flagged)), count)
+        anchor, single = flagged[rep], hot[rep]
+        first = self.first[anchor] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+        last, bucket = np.where(single, first, self.last[anchor]), self.bucket[self.cell[anchor]]
+        if hot.any():
+            own = gram_hashes(self.data, self.length)[first[single]]
+            bucket[single] = (own >> np.uint64(64 - self.buckets.bit_length() + 1)).astype(np.int64)
+        doc, raw, tail = self.doc[anchor], self.raw, self.length
+        found: dict[int, dict[bytes, list[int]]] = {}
+        number = []
+        for p, q, at, b, d in zip(first.tolist(), last.tolist(), self.at[anchor].tolist(), bucket.tolist(), self.order[doc].tolist(), strict=True):
+            own = found.get(b)
             if own is None:
-                own = found[bucket] = {}
+                own = found[b] = {}
             key = bytes((at - p,)) + raw[p : q + tail]
             hit = own.get(key)
             if hit is None:
-                own[key] = hit = [len(own), doc]
-            elif doc < hit[1]:
-                hit[1] = doc
+                own[key] = hit = [len(own), d]
+            elif d < hit[1]:
+                hit[1] = d
             number.append(hit[0])
-        return flagged, np.array(number, np.int64), found
+        return Contexts(first, doc, bucket, np.array(number, np.int64), found)
+
+
+class Contexts(NamedTuple):
+    """Per context its first window, document, bucket and number within the bucket; and by bucket each distinct context, led
+    by the anchor's offset in it, with [number, least document]."""
+
+    first: np.ndarray
+    doc: np.ndarray
+    bucket: np.ndarray
+    number: np.ndarray
+    found: dict[int, dict[bytes, list[int]]]
 
 
 def _send_cells(buckets: int, length: int, gram: int):
@@ -324,17 +347,22 @@ def _dicts(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _shared_cells(table: pa.Table) -> pa.Table:
-    """One bucket: which keys do two slices or two documents of a slice have?"""
-    keys = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in table.column("keys")]
-    counts = [len(k) for k in keys]
-    flat = np.zeros((sum(counts), 8), np.uint8)
-    flat[:, :5] = np.concatenate(keys)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column("twice"), counts, strict=True)])
-    _, cell, times = np.unique(flat.view("<u8").ravel(), return_inverse=True, return_counts=True)
-    shared = (times + np.bincount(cell, twice, len(times)) > 1)[cell]
-    bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(counts)[:-1])]
-    return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+def _shared_cells(limit: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket: which keys do two slices or two documents of a slice have, and which more than ``limit`` slices?"""
+        keys = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in table.column("keys")]
+        counts = [len(k) for k in keys]
+        flat = np.zeros((sum(counts), 8), np.uint8)
+        flat[:, :5] = np.concatenate(keys)
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(table.column("twice"), counts, strict=True)])
+        _, cell, times = np.unique(flat.view("<u8").ravel(), return_inverse=True, return_counts=True)
+        shared, hot = (times + np.bincount(cell, twice, len(times)) > 1)[cell], (times > limit)[cell]
+        ends = np.cumsum(counts)[:-1]
+        bits = [np.packbits(x).tobytes() for x in np.split(shared, ends)]
+        frequent = [np.packbits(x).tobytes() if x.any() else None for x in np.split(hot, ends)]
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary()), "hot": pa.array(frequent, pa.binary())})
+
+    return run
 
 
 def _send_contexts(buckets: int, length: int, gram: int):
@@ -343,7 +371,7 @@ def _send_contexts(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _dicts(batch):
-                _, _, found = Slice(row, buckets, length, gram).contexts(row["marks"])
+                found = Slice(row, buckets, length, gram).contexts(row["marks"]).found
                 out = []
                 for bucket, own in found.items():
                     sizes = np.fromiter(map(len, own), "<u2", len(own))
@@ -433,10 +461,9 @@ def _least_documents(length: int, gram: int, shallow: int):
 def _removed(s: Slice, marks: list[dict], replies: list[dict]) -> np.ndarray:
     """True for every byte of the slice that goes."""
     delta = np.zeros(len(s.data) + 1, np.int32)
-    flagged, number, _ = s.contexts(marks)
-    bucket = s.bucket[s.cell[flagged]]
-    by_bucket = np.argsort(bucket, kind="stable")
-    sorted_bucket = bucket[by_bucket]
+    own = s.contexts(marks)
+    by_bucket, number = np.argsort(own.bucket, kind="stable"), own.number
+    sorted_bucket = own.bucket[by_bucket]
     for r in replies:
         mine = by_bucket[np.searchsorted(sorted_bucket, r["bucket"]) : np.searchsorted(sorted_bucket, r["bucket"], side="right")]
         runs = np.frombuffer(unpacked(r["runs"]), np.uint8).astype(np.int64)
@@ -445,8 +472,8 @@ def _removed(s: Slice, marks: list[dict], replies: list[dict]) -> np.ndarray:
         n = runs[number[mine]]
         pick = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         total = np.cumsum(size[pick]) - size[pick]  # windows before, over all picked runs
-        start_of = np.repeat(s.first[flagged[mine]], n) + total - np.repeat(total[np.cumsum(n) - n], n)
-        goes = doc[pick] < np.repeat(s.order[s.doc[flagged[mine]]], n)
+        start_of = np.repeat(own.first[mine], n) + total - np.repeat(total[np.cumsum(n) - n], n)
+        goes = doc[pick] < np.repeat(s.order[own.doc[mine]], n)
         np.add.at(delta, start_of[goes], 1)
         np.add.at(delta, start_of[goes] + size[pick][goes] - 1 + s.length, -1)
     return np.cumsum(delta[:-1]) > 0
@@ -485,7 +512,7 @@ def bucket_count(total_bytes: int, gram: int = GRAM, length: int = LENGTH, targe
     return n
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shallow: int = SHALLOW, slice_bytes: int = SLICE, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shallow: int = SHALLOW, slice_bytes: int = SLICE, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept on request."""
     if not 8 <= gram <= length <= 250:
         raise ValueError("8 <= gram <= length <= 250")
@@ -495,8 +522,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     total = slices.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
     buckets = bucket_count(total, gram, length)
     cells = slices.mapInArrow(_send_cells(buckets, length, gram), "bucket int, slice bigint, keys binary, twice binary")
-    bits = cells.groupBy("bucket").applyInArrow(_shared_cells, "slice bigint, bucket int, bits binary")
-    marks = written(bits.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")), "marks")
+    bits = cells.groupBy("bucket").applyInArrow(_shared_cells(hot), "slice bigint, bucket int, bits binary, hot binary")
+    marks = written(bits.groupBy("slice").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("marks")), "marks")
     free_shuffles(spark)
     sent = slices.join(marks, "slice").mapInArrow(_send_contexts(buckets, length, gram), "bucket int, slice bigint, sizes binary, docs binary, data binary")
     least = sent.groupBy("bucket").applyInArrow(_least_documents(length, gram, shallow), "slice bigint, bucket int, runs binary, sizes binary, docs binary")

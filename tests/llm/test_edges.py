@@ -386,22 +386,23 @@ def test_suffix_dedup(spark, table, pairs, nothing):
     df = spark.createDataFrame(small, "doc_id bigint, text string")
     big = 2**63 - 1
     want = slow_repeats([(big if i is None else i, (x or "").encode()) for i, x in small])
-    for options in ({}, {"slice_bytes": 300, "gram": 8}, {"shallow": 0}):
+    for options in ({"slice_bytes": 300, "gram": 8}, {"shallow": 0, "hot": 0}):
         got = [tuple(r) for r in suffix_dedup.remove_repeats(df, **options).collect()]
         same(got, [(i, *w) for (i, _), w in zip(small, want, strict=True)])
-    assert suffix_dedup.remove_repeats(table).count() == len(pairs)
+    whole = slow_repeats([(big if i is None else i, (x or "").encode()) for i, x in pairs])
+    same([tuple(r) for r in suffix_dedup.remove_repeats(table).collect()], [(i, *w) for (i, _), w in zip(pairs, whole, strict=True)])
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_suffix_dedup_of_woven_passages(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, 1024), (1, 0), (2, 1), (3, 2)])
+def test_suffix_dedup_of_woven_passages(spark, seed, hot):
     from test_contracts import slow_repeats
 
     r = random.Random(seed)
     shared = ["".join(r.choices("abcd ", k=r.randint(40, 120))) for _ in range(6)] + ["ab" * 60, "a" * 90]
     docs = [(i, "".join(r.choice([*shared, "".join(r.choices("abcdefgh ", k=r.randint(0, 60)))]) for _ in range(r.randint(0, 6)))) for i in r.sample(range(100), 25)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    got = [tuple(x) for x in suffix_dedup.remove_repeats(df, slice_bytes=400, with_text=False).collect()]
+    got = [tuple(x) for x in suffix_dedup.remove_repeats(df, slice_bytes=400, hot=hot).collect()]
     same(got, [(i, *w) for (i, _), w in zip(docs, slow_repeats([(i, t.encode()) for i, t in docs]), strict=True)])
 
 
