@@ -66,4 +66,14 @@ def manifest_diff(declared: DataFrame, found: DataFrame, key: str = "path", dige
 
 def first_errors(problems: DataFrame, n: int = 5) -> DataFrame:
     """Per status the number of problems and the first n keys."""
-    return problems.groupBy("status").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(problems.columns[0])), 1, n).alias("first"))
+    from pyspark.sql import Window as W
+
+    key = problems.columns[0]
+    ranked = problems.withColumn("_place", F.row_number().over(W.partitionBy("status").orderBy(key))).where(F.col("_place") <= n)
+    first = ranked.groupBy("status").agg(F.sort_array(F.collect_list(key)).alias("first"))  # n of a status at most
+    return problems.groupBy("status").agg(F.count("*").alias("n")).join(first, "status")
+
+
+def distinct_union(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Keys of either table, once each."""
+    return a.select(*on).unionByName(b.select(*on)).distinct()

@@ -32,12 +32,16 @@ def with_grid(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.expr(f"pixel_id div {WIDTH}").cast("int")).withColumn("col", (F.col("pixel_id") % WIDTH).cast("int"))
 
 
-def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_validity(C.daily_composite(raw(spark, sf_dir), BANDS), BANDS)
+def cube(spark: SparkSession, sf_dir: str, settle: bool = False) -> DataFrame:
+    """``settle``: written once, for plans that read it more than once."""
+    from pixeltide.plans.shared import settled
+
+    made = C.with_validity(C.daily_composite(raw(spark, sf_dir), BANDS), BANDS)
+    return settled(made, "cube") if settle else made
 
 
 def dense_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_validity(C.dense(cube(spark, sf_dir), BANDS), BANDS)
+    return C.with_validity(C.dense(cube(spark, sf_dir, settle=True), BANDS), BANDS)
 
 
 def moments(observed: DataFrame) -> DataFrame:
@@ -49,12 +53,13 @@ def moments(observed: DataFrame) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     from pixeltide.operators.baseline import score
 
-    seen = dense_cube(spark, sf_dir) if dense else cube(spark, sf_dir)
+    seen = dense_cube(spark, sf_dir) if dense else cube(spark, sf_dir, settle=True)
     return with_grid(score(seen.drop("valid").join(moments(seen), "pixel_id", "left"), BANDS))
 
 
 def height(spark: SparkSession, sf_dir: str) -> int:
-    return int(raw(spark, sf_dir).agg(F.max("pixel_id")).first()[0]) // WIDTH + 1
+    """Rows of the grid, from the pixel column alone."""
+    return int(table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey")).first()[0]) // WIDTH + 1
 
 
 def with_cfar(spark: SparkSession, scores: DataFrame, rows: int, scales=None) -> DataFrame:

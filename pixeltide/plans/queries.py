@@ -11,25 +11,27 @@ from pyspark.sql import functions as F
 from pixeltide import defaults as D
 from pixeltide.functions import dates, digests, masks, scores as S
 from pixeltide.operators import baseline as B, composite as C, evaluate as E, regions as R, states as T, thresholds as H
-from pixeltide.plans import cube as P
+from pixeltide.plans import cube as P, verbs as V
 from pixeltide.plans.shared import settled
+from pixeltide.sources import scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, dates: tuple[str, ...] = ()):
-    """Registers a query; days and times are given as text on both sides, whatever types the readers have for them."""
+def query(sql: str | None = None, dates: tuple[str, ...] = (), into: tuple[dict, dict] | None = None):
+    """Registers a query, in this module's tables or in those given; days and times are given as text on both sides, whatever types the readers have for them."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
             return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
 
-        QUERIES[f.__name__] = run
+        found, oracle = into or (QUERIES, ORACLE_SQL)
+        found[f.__name__] = run
         if sql:
             text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
-            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
+            oracle[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql
         return f
 
     return add
@@ -154,7 +156,7 @@ def greedy_bins(spark, sf_dir):
 @query(f"""WITH {CUBE}, lim AS (SELECT quantile_cont(x, 0.999) AS q FROM (SELECT unnest([b1, b2, b3, b4]) AS x FROM cube))
   SELECT pixel_id, acq_date, {', '.join(f'round(CASE WHEN b{i} <= q THEN b{i} END, 6) AS b{i}' for i in range(1, 5))} FROM cube CROSS JOIN lim""", dates=("acq_date",))
 def p999_removal(spark, sf_dir):
-    return rounded(C.drop_extremes(P.cube(spark, sf_dir).drop("valid"), P.BANDS))
+    return rounded(C.drop_extremes(P.cube(spark, sf_dir, settle=True).drop("valid"), P.BANDS))
 
 
 STRETCH = ", ".join(f"round(CASE WHEN b{i} IS NOT NULL THEN greatest(0.0, least(1.0, CASE WHEN h{i} > l{i} THEN (b{i} - l{i}) / (h{i} - l{i}) ELSE 0 END)) * 255 END, 4) AS b{i}_display" for i in range(1, 4))
@@ -163,7 +165,7 @@ STRETCH = ", ".join(f"round(CASE WHEN b{i} IS NOT NULL THEN greatest(0.0, least(
 @query(f"""WITH {CUBE}, lim AS (SELECT {', '.join(f'quantile_cont(b{i}, 0.02) FILTER (WHERE b{i} > 0) AS l{i}, quantile_cont(b{i}, 0.98) FILTER (WHERE b{i} > 0) AS h{i}' for i in range(1, 4))} FROM cube)
   SELECT pixel_id, acq_date, {STRETCH} FROM cube CROSS JOIN lim""", dates=("acq_date",))
 def percentile_stretch(spark, sf_dir):
-    made = C.percentile_stretch(P.cube(spark, sf_dir).select("pixel_id", "acq_date", *P.BANDS[:3]), P.BANDS[:3])
+    made = C.percentile_stretch(P.cube(spark, sf_dir, settle=True).select("pixel_id", "acq_date", *P.BANDS[:3]), P.BANDS[:3])
     return rounded(made.drop(*P.BANDS), 4)
 
 
@@ -171,7 +173,8 @@ def percentile_stretch(spark, sf_dir):
   AND CAST(l_shipdate AS DATE) BETWEEN DATE '1993-02-01' AND DATE '1996-11-30' GROUP BY ALL""", dates=("year",))
 def roi_filter(spark, sf_dir):
     items = P.table(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
-    inside = items.where(F.expr("l_suppkey div 10").between(1, 6) & (F.col("l_suppkey") % 10).between(2, 7) & dates.in_days(F.col("day"), "1993-02-01", "1996-11-30"))
+    placed = items.withColumn("row", F.expr("l_suppkey div 10")).withColumn("col", F.col("l_suppkey") % 10)
+    inside = scenes.roi(placed, 2, 1, 6, 6).where(dates.in_days(F.col("day"), "1993-02-01", "1996-11-30"))
     return inside.groupBy(F.trunc("day", "YEAR").alias("year")).agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
 
 
@@ -267,14 +270,14 @@ def ridge_fit(spark, sf_dir):
 
 @query(dates=("acq_date",))
 def baseline_predict(spark, sf_dir):
-    seen = P.cube(spark, sf_dir).drop("valid")
+    seen = P.cube(spark, sf_dir, settle=True).drop("valid")
     made = B.predict(seen, B.fit(seen, P.BANDS, START, END), P.BANDS, START, END, horizon_decay=0.5)
     return rounded(B.score(made, P.BANDS).select("pixel_id", "acq_date", "valid", "d2", "sam"))
 
 
 @query(f"""WITH {CUBE}{SCORED} SELECT c.pixel_id, {', '.join(f'round(stddev_pop(b{i} - m{i}), 6) AS b{i}_std' for i in range(1, 5))} FROM cube c JOIN moments USING (pixel_id) GROUP BY c.pixel_id""")
 def residual_std(spark, sf_dir):
-    seen = P.cube(spark, sf_dir)
+    seen = P.cube(spark, sf_dir, settle=True)
     joined = seen.join(P.moments(seen), "pixel_id").select("pixel_id", *P.BANDS, *[f"{b}_mean" for b in P.BANDS])
     return rounded(B.residual_std(joined, P.BANDS, lambda b: F.col(b) - F.col(f"{b}_mean")))
 
@@ -282,7 +285,7 @@ def residual_std(spark, sf_dir):
 @query(f"""WITH {CUBE}{SCORED} SELECT CAST(year(acq_date) AS INTEGER) AS year, round(avg(0.5 * exp(-least(greatest(2 * ln(s1 + 1e-6), -7.0), 5.0)) * pow(m1 - b1, 2) + 0.5 * least(greatest(2 * ln(s1 + 1e-6), -7.0), 5.0)), 6) AS nll,
   round(avg(exp(-0.2 * (1998 - year(acq_date)) * 0.5) + 0.5), 6) AS mean_weight FROM cube JOIN moments USING (pixel_id) WHERE b1 IS NOT NULL GROUP BY ALL""")
 def nll_score(spark, sf_dir):
-    seen = P.cube(spark, sf_dir)
+    seen = P.cube(spark, sf_dir, settle=True)
     joined = seen.join(P.moments(seen), "pixel_id").where("b1 IS NOT NULL")
     one = S.nll(F.col("b1_mean"), F.col("b1"), 2 * F.log(F.col("b1_std") + 1e-6))
     weight = S.recency_weight(1998 - F.year("acq_date"), 0.2)
@@ -291,7 +294,7 @@ def nll_score(spark, sf_dir):
 
 @query(f"""WITH {CUBE}{SCORED} SELECT s.pixel_id, s.acq_date, {', '.join(f'CAST(least(greatest(round_even((b{i} - m{i}) * 10000, 0), -32768), 32767) AS SMALLINT) AS b{i}_q, round(m{i} + least(greatest(round_even((b{i} - m{i}) * 10000, 0), -32768), 32767) / 10000, 6) AS b{i}_rec' for i in range(1, 5))} FROM cube s JOIN moments USING (pixel_id)""", dates=("acq_date",))
 def reconstruct(spark, sf_dir):
-    seen = P.cube(spark, sf_dir)
+    seen = P.cube(spark, sf_dir, settle=True)
     coded = B.residuals(seen.drop("valid").join(P.moments(seen), "pixel_id"), P.BANDS)
     made = B.reconstructed(coded, P.BANDS)
     return rounded(made.select("pixel_id", "acq_date", *[f"{b}_{x}" for b in P.BANDS for x in ("q", "rec")]))
@@ -463,8 +466,8 @@ def alpha_selection(spark, sf_dir):
 def area_summary(spark, sf_dir):
     sc = _scores(spark, sf_dir)
     made = H.decide(sc, H.null_thresholds(sc, [0.01], check=False))
-    by = made.groupBy("acq_date").agg(F.count_if("valid").alias("valid_pixels"), F.count_if("mask").alias("anomaly_pixels"), F.max("score").alias("top"))
-    return by.select("acq_date", "valid_pixels", "anomaly_pixels", F.round(F.col("anomaly_pixels") * D.PIXEL_SIZE_M**2 / 1e6, 6).alias("area_km2"), F.round("top", 5).alias("top_score"))
+    by = V.summarised(settled(made, "decided"), V.Config(tuple(P.BANDS), 0, P.WIDTH))
+    return by.select("acq_date", "valid_pixels", "anomaly_pixels", F.round("area_km2", 6).alias("area_km2"), F.round("top_score", 5).alias("top_score"))
 
 
 GRID_MASK = ", g AS (SELECT acq_date, row, col FROM scored WHERE valid AND d2 > 5)"
@@ -515,7 +518,7 @@ def confusion_metrics(spark, sf_dir):
 @query(f"""WITH {CUBE}{SCORED}, r AS (SELECT year(acq_date) AS year, unnest([{', '.join(f'b{i} - m{i}' for i in range(1, 5))}]) AS r FROM cube JOIN moments USING (pixel_id))
   SELECT CAST(year AS INTEGER) AS year, round(sqrt(avg(r * r)), 6) AS rmse, count(r) AS n FROM r WHERE r IS NOT NULL GROUP BY year""")
 def pooled_rmse(spark, sf_dir):
-    seen = P.cube(spark, sf_dir)
+    seen = P.cube(spark, sf_dir, settle=True)
     joined = seen.join(P.moments(seen), "pixel_id").withColumn("year", F.year("acq_date"))
     return rounded(E.pooled_rmse(joined, [F.col(b) - F.col(f"{b}_mean") for b in P.BANDS], ["year"]))
 

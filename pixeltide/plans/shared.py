@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,14 @@ _FOLDERS: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """This application's folder below ``spark.checkpoint.dir``; a temporary one only if that is unset and all of Spark is in
+    one process, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pixeltide-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = base or tempfile.mkdtemp(prefix="pixeltide-")
         _FOLDERS[app] = f"{base.rstrip('/')}/pixeltide-tables-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_clear, spark, _FOLDERS[app])
     return _FOLDERS[app]

@@ -52,7 +52,9 @@ class Config:
         with open(path, encoding="utf-8") as f:
             given = yaml.safe_load(f) or {}
         known = cls.__dataclass_fields__
-        values = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known}
+        if unknown := sorted(set(given) - set(known) - {"loss"}):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        values = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in given.items() if k in known}
         if isinstance(values.get("states"), dict):
             values["states"] = T.StateSettings(**values["states"])
         if given.get("loss", "nll") != "nll":
@@ -180,7 +182,10 @@ def extrapolation_rmse(cube: DataFrame, predict: Predictor, config: Config, afte
 
 
 def check(spark: SparkSession, folder: str, manifest_path: str) -> DataFrame:
-    """Problems of a folder against its manifest (path, sha256): missing, untracked, modified."""
-    found = M.file_digests(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
-    declared = M.read_manifest(spark, manifest_path).select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
+    """Problems of a folder against its manifest (path or relative_path, sha256), by paths relative to the folder: missing,
+    untracked, modified.  A manifest inside the folder is no part of it."""
+    found = M.file_digests(spark, folder).select(M.relative_path(F.col("path"), folder).alias("path"), "sha256")
+    found = found.where(F.col("path") != M.relative_path(F.lit(manifest_path), folder))
+    listed = M.read_manifest(spark, manifest_path)
+    declared = listed.select(M.relative_path(F.col("relative_path" if "relative_path" in listed.columns else "path"), folder).alias("path"), "sha256")
     return E.manifest_diff(declared, found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import tempfile
 from collections.abc import Mapping
@@ -146,6 +147,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+def relative_path(path, folder: str):
+    """A path below ``folder`` without that folder; any scheme, ``./`` and doubled slashes do not matter."""
+    plain = F.regexp_replace(F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*(?=/))?", ""), "/+", "/")
+    root = re.sub("/+", "/", re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*(?=/))?", "", folder)).rstrip("/") + "/"
+    below = F.when(F.startswith(plain, F.lit(root)), F.substring(plain, len(root) + 1, 1 << 30)).otherwise(plain)
+    return F.regexp_replace(below, r"^(\./)+", "")
+
+
 def source_paths(record: DataFrame) -> DataFrame:
     """paths of each record: its JSON list, else its single path; an empty list is an error."""
     listed = F.from_json("source_paths", "array<string>")

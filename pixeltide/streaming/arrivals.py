@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixeltide.plans.shared import folder
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pixeltide-streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def each_arrival(source: DataFrame, detect: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str, strict: bool = False) -> None:
@@ -30,18 +31,22 @@ def each_arrival(source: DataFrame, detect: Callable[[DataFrame], DataFrame], ou
     stream.awaitTermination()
 
 
-def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event counts and sums per type and day through a watermarked stateful stream over the event files."""
+def daily_totals(spark: SparkSession, sf_dir: str, delay: str = "40 days") -> DataFrame:
+    """Event counts and sums per type and day through a watermarked stateful stream over the event files.
+
+    Days older than the newest event by more than ``delay`` leave the state; every change of a day is written with its
+    batch's number, and the newest row of a day counts.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    by = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").groupBy("event_type", F.to_date("ts").alias("day"))
+    events = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", delay)
+    by = events.groupBy("event_type", F.window("ts", "1 day").alias("span")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     out, checkpoint = _folder(spark, "daily-totals"), _folder(spark, "stream-state")
 
-    def last(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.select("event_type", F.to_date("span.start").alias("day"), "n", "total").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = by.agg(F.count("*").alias("n"), F.sum("value").alias("total")).writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = by.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    made = spark.read.parquet(out)
-    newest = made.agg(F.max("batch").alias("newest"))
-    return made.join(F.broadcast(newest), F.col("batch") == F.col("newest")).select("event_type", "day", "n", "total")
+    newest = F.max_by(F.struct("n", "total"), "batch")
+    return spark.read.parquet(out).groupBy("event_type", "day").agg(newest.alias("x")).select("event_type", "day", "x.n", "x.total")

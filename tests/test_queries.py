@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pixeltide.plans import queries as Q
+from pixeltide.plans import checks, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | checks.QUERIES, queries.ORACLE_SQL | checks.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -25,16 +26,16 @@ def same(frame: pd.DataFrame) -> list:
     return sorted(tuple(f"{float(x):.5f}" if isinstance(x, float) else str(x) for x in row) for row in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_agrees_with_sql(spark, con, sf_dir, name):
-    ours, theirs = Q.QUERIES[name](spark, sf_dir).toPandas(), con.sql(Q.ORACLE_SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, sf_dir).toPandas(), con.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert same(ours) == same(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, sf_dir, name):
-    assert Q.QUERIES[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

@@ -232,3 +232,44 @@ def test_input_messages(spark):
     df = spark.createDataFrame([(0, 3, 2, "d"), (5, 2, 2, "d"), (5, 3, 1, "d"), (5, 3, 2, None), (5, 3, 2, "d")], "n int, dims int, bands int, d string")
     got = [r[0] for r in df.select(masks.input_message(F.col("n"), F.col("dims"), F.col("bands"), 2, F.col("d"))).collect()]
     assert got == ["empty image", "image must have three dimensions", "expected 2 bands", "missing acquisition date", None]
+
+
+def test_check_compares_relative_paths(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a/x.tif", "1"), ("b/x.tif", "2"), ("c/y.tif", "3"), ("z.tif", "4")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in "1234"}
+    listed = [("a/x.tif", digest["2"]), ("b/x.tif", digest["2"]), ("d/y.tif", digest["3"]), ("./z.tif", digest["4"])]
+    manifest = tmp_path / "manifest.csv"
+    manifest.write_text("relative_path,sha256\n" + "".join(f"{p},{h}\n" for p, h in listed))
+    from pixeltide import check
+
+    found = {tuple(r) for r in check(spark, str(tmp_path), str(manifest)).collect()}
+    assert found == {("a/x.tif", "modified"), ("c/y.tif", "untracked"), ("d/y.tif", "missing")}
+
+
+def test_settings(tmp_path):
+    from pixeltide import Config
+
+    path = tmp_path / "run.yaml"
+    path.write_text("bands: [a, b]\nheight: 3\nwidth: 4\nscales: [[5, 3]]\nalpha: 0.001\nstates: {min_days: 10}\n")
+    made = Config.from_yaml(str(path))
+    assert (made.bands, made.scales, made.alpha, made.states.min_days) == (("a", "b"), ((5, 3),), 0.001, 10)
+    path.write_text("bands: [a]\nheight: 3\nwidth: 4\nalhpa: 0.1\n")
+    with pytest.raises(ValueError, match="alhpa"):
+        Config.from_yaml(str(path))
+    path.write_text("bands: [a]\nheight: 3\nwidth: 4\nloss: mse\n")
+    with pytest.raises(ValueError):
+        Config.from_yaml(str(path))
+
+
+def test_no_machine_local_tables_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pixeltide.plans.shared import folder
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="elsewhere", master="spark://host:7077"), conf={})
+    with pytest.raises(ValueError, match="checkpoint"):
+        folder(session)
