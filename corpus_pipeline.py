@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Defined cases of all stages: texts of any length are handled whole; an empty table gives an empty one; columns beyond those
+a stage reads pass through, whatever their names.  Null, empty and letterless texts go in the first stage; rows repeated
+whole, or with equal texts under several ids or none, leave one row in the second; texts that differ but have equal
+shingles leave one in the third; rows alike in id, source and size are taken together by the fourth, null source being a
+source of its own; the fifth gives a row for every row of the mix, null ids included.
 """
 
 from __future__ import annotations
