@@ -9,6 +9,10 @@ sum_l pi_l p(w|l).  Expectation-maximisation estimates pi over all languages; la
 first, with EM run again each time, and the set with the best penalised likelihood, log L - (k-1)/2 * log(words), is
 kept.  ``lang_pred`` is the language of the largest share, ``score`` that share.
 
+Filtering: the mixture has one more member that stands for "none of the learned languages" and gives every trigram the same
+likelihood, ``foreign_level``; its share is no language's.  So a text in a language that was not learned, or of random
+letters, has small shares only, whatever its length.
+
 Defined cases: text that is null or has no letters gets ``und`` with score 0, as does every text if nothing was
 learned; ties go to the smaller language name; rows of null language are not learned from; ids may be null or
 repeated (one row per input row); an empty table gives an empty result; other columns are ignored.
@@ -86,13 +90,30 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, [lang] * len(seen), seen.astype(np.int32), counts[seen].astype(np.int64))
 
 
+def foreign_level(counts: np.ndarray, log_p: np.ndarray) -> float | None:
+    """Log-likelihood of a trigram in no learned language.
+
+    For each language, half way between how its trigrams fit itself and how they fit the language nearest to it; the least of
+    these, so that languages near each other or seldom seen widen what is accepted.  None with fewer than two languages:
+    nothing then shows how badly other languages fit.
+    """
+    seen = counts.sum(0)
+    if (seen > 0).sum() < 2:
+        return None
+    fit = (counts / np.maximum(seen, 1)).T @ log_p
+    own = np.diag(fit).copy()
+    np.fill_diagonal(fit, -np.inf)
+    return float(((own + fit.max(1)) / 2)[seen > 0].min())
+
+
 class LanguageModel:
-    """Languages in name order and log p(cell | language), shape (BUCKETS, languages)."""
+    """Languages in name order, log p(cell | language), shape (BUCKETS, languages), and the level of ``foreign_level``."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = SMOOTHING):
         self.languages = languages
         smooth = counts + smoothing
         self.log_p = np.log(smooth / smooth.sum(0, keepdims=True)).astype(np.float32) if languages else counts.astype(np.float32)
+        self.foreign = foreign_level(counts, self.log_p)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = SMOOTHING) -> LanguageModel:
@@ -163,9 +184,12 @@ def mixture(ll: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Predictor:
-    def __init__(self, model: LanguageModel):
+    """Language shares of texts; with ``foreign`` the shares leave out what no learned language explains."""
+
+    def __init__(self, model: LanguageModel, foreign: bool = False):
         self.model, self.known = model, {}
-        self.table = np.zeros((0, len(model.languages)), np.float32)
+        self.foreign = model.foreign if foreign else None
+        self.table = np.zeros((0, len(model.languages) + (self.foreign is not None)), np.float32)
 
     def _rows(self, words: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > MEMORY:
@@ -174,6 +198,9 @@ class Predictor:
         if new:
             at, first = trigram_cells(new)
             ll = np.add.reduceat(self.model.log_p[at], first, axis=0)
+            if self.foreign is not None:
+                lengths = np.diff(np.append(first, len(at)))
+                ll = np.column_stack([ll, (lengths * self.foreign).astype(np.float32)])
             self.known |= {w: i for i, w in enumerate(new, len(self.table))}
             self.table = np.concatenate([self.table, ll])
         get = self.known.__getitem__
@@ -188,7 +215,8 @@ class Predictor:
         counted = [np.unique(r, return_counts=True) for r in self._rows([words[i] for i in some])]
         sizes = np.array([len(u) for u, _ in counted])
         rows, n = np.concatenate([u for u, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.float64)
-        return some, mixture(self.table[rows].astype(np.float64), n, np.cumsum(sizes) - sizes)
+        pi = mixture(self.table[rows].astype(np.float64), n, np.cumsum(sizes) - sizes)
+        return some, pi[:, : len(self.model.languages)]
 
 
 def _predict(broadcast):
@@ -222,7 +250,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", id_co
 
 def _accept(broadcast, text_col: str, low: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(broadcast.value)
+        predictor = Predictor(broadcast.value, foreign=True)
         for batch in batches:
             for part in slices(batch, text_col):
                 some, pi = predictor.shares(part.column(text_col).to_pylist())
@@ -235,7 +263,10 @@ def _accept(broadcast, text_col: str, low: float):
 
 
 def filter_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", low: float = 0.5) -> DataFrame:
-    """The rows, all columns kept, whose text has letters and a language with a share of ``low`` or more."""
+    """The rows, all columns kept, whose text has letters and a learned language with a share of ``low`` or more of its words.
+
+    Words that fit no learned language count for none.  No row is kept if nothing was learned.
+    """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     return bounded_batches(docs).mapInArrow(_accept(broadcast, text_col, low), docs.schema)
 

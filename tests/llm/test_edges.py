@@ -155,6 +155,36 @@ def test_mixture_finds_both_languages():
     assert pi[1].tolist() == [0, 1] and pi[2].tolist() == [1, 0]
 
 
+def test_unlearned_languages_are_rejected(spark):
+    """Each language in turn is left out of the training; every other language's texts stay, its own go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200")
+    rng = random.Random(5)
+    junk = [(-i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(80)), "junk") for i in range(1, 41)]
+    other = [(-41, "это другой язык которого модель никогда не видела", "ru"), (-42, "tämä on teksti jota malli ei ole koskaan nähnyt eikä tunnista", "fi")]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk + other, "doc_id bigint, text string, lang string"))
+    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    names = sorted(set(total) - {"junk", "ru", "fi"})
+    for left_out in [None, *names]:
+        model = language_id.train(docs.where(language_id.fold(F.col("doc_id")) != 0).where(F.col("lang") != (left_out or "")))
+        kept = {r["lang"]: r["count"] for r in language_id.filter_language(rows, model, low=1 / 3).groupBy("lang").count().collect()}
+        assert all(kept[x] >= 0.998 * total[x] for x in names if x != left_out), (left_out, kept, total)
+        assert not kept.keys() & {"junk", "ru", "fi"}, kept
+        assert left_out is None or kept.get(left_out, 0) <= 0.1 * total[left_out], (left_out, kept, total)
+
+
+def test_foreign_level_needs_two_languages():
+    counts = np.zeros((language_id.BUCKETS, 2))
+    counts[:50, 0], counts[50:90, 1] = 7, 9
+    both = language_id.LanguageModel(["de", "en"], counts)
+    fit = np.log([(7.05) / (350 + 0.05 * language_id.BUCKETS), 0.05 / (360 + 0.05 * language_id.BUCKETS)])
+    other = np.log([(9.05) / (360 + 0.05 * language_id.BUCKETS), 0.05 / (350 + 0.05 * language_id.BUCKETS)])
+    assert both.foreign == pytest.approx(min(fit.mean(), other.mean()), abs=1e-4)
+    one = language_id.LanguageModel(["de"], counts[:, :1])
+    assert one.foreign is None and language_id.LanguageModel([], counts[:, :0]).foreign is None
+    some, pi = language_id.Predictor(one, foreign=True).shares(["abc def"])
+    assert pi.tolist() == [[1.0]]
+
+
 def test_bpe(table, pairs, nothing):
     t = Tokenizer.from_file(BYTE)
     want = []
