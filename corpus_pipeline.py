@@ -20,12 +20,16 @@ from pixeltide.llm.common import new_path
 from pixeltide.llm.queries import BYTE_VOCABULARY, vocabulary
 
 
-#: Share of its leading language below which a text counts as in none.
+#: Share of words of its leading language below which a text counts as in none.
 LEAST_SHARE = 1 / 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or in which no language has more than a third, go; all others stay unchanged."""
+    """Texts without letters, or in which no learned language has a third of the words, go; all others stay unchanged.
+
+    Words that fit no learned language count for none, so texts in other languages and of random letters go too; with a
+    single learned language nothing tells which words those are, and only texts without letters go.
+    """
     model = language_id.train(docs.where(language_id.fold(F.col("doc_id")) != 0))
     return language_id.filter_language(docs, model, low=LEAST_SHARE)
 
