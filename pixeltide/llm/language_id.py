@@ -11,7 +11,8 @@ kept.  ``lang_pred`` is the language of the largest share, ``score`` that share.
 
 Filtering: the mixture has one more member that stands for "none of the learned languages" and gives every trigram the same
 likelihood, ``foreign_level``; its share is no language's.  So a text in a language that was not learned, or of random
-letters, has small shares only, whatever its length.
+letters, has small shares only.  A share is an estimate from so many words; a row goes if it is below the limit by more than
+``ERRORS`` standard errors, so a few odd words or a licence line do not reject a short text.
 
 Defined cases: text that is null or has no letters gets ``und`` with score 0, as does every text if nothing was
 learned; ties go to the smaller language name; rows of null language are not learned from; ids may be null or
@@ -35,6 +36,8 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.05
 MAX_MODEL_BYTES = 512 << 20
 ROUNDS, EPSILON = 25, 1e-3
+#: Standard errors of a share by which it must miss the limit of ``filter_language``.
+ERRORS = 2.0
 #: Distinct words a task holds before it turns them into trigram counts, and words whose likelihood it remembers.
 MEMORY = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -208,15 +211,19 @@ class Predictor:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts that have letters, and the shares of their languages."""
+        return self.counted_shares(texts)[:2]
+
+    def counted_shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``shares`` and the texts' numbers of words."""
         words = [letter_words(t or "") for t in texts]
         some = np.array([i for i, w in enumerate(words) if w], np.int64)
         if not len(some) or not self.model.languages:
-            return some[:0], np.zeros((0, len(self.model.languages)))
+            return some[:0], np.zeros((0, len(self.model.languages))), some[:0]
         counted = [np.unique(r, return_counts=True) for r in self._rows([words[i] for i in some])]
         sizes = np.array([len(u) for u, _ in counted])
         rows, n = np.concatenate([u for u, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.float64)
         pi = mixture(self.table[rows].astype(np.float64), n, np.cumsum(sizes) - sizes)
-        return some, pi[:, : len(self.model.languages)]
+        return some, pi[:, : len(self.model.languages)], np.array([len(words[i]) for i in some], np.int64)
 
 
 def _predict(broadcast):
@@ -253,9 +260,11 @@ def _accept(broadcast, text_col: str, low: float):
         predictor = Predictor(broadcast.value, foreign=True)
         for batch in batches:
             for part in slices(batch, text_col):
-                some, pi = predictor.shares(part.column(text_col).to_pylist())
+                some, pi, n = predictor.counted_shares(part.column(text_col).to_pylist())
                 keep = np.zeros(part.num_rows, bool)
-                keep[some[pi.max(1) >= low] if len(some) else some] = True
+                if len(some):
+                    share = pi.max(1)
+                    keep[some[share + ERRORS * np.sqrt(np.maximum(share * (1 - share), 0) / n) >= low]] = True
                 kept = pa.Table.from_batches([part]).filter(pa.array(keep))
                 yield from kept.to_batches()
 
@@ -265,7 +274,8 @@ def _accept(broadcast, text_col: str, low: float):
 def filter_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", low: float = 0.5) -> DataFrame:
     """The rows, all columns kept, whose text has letters and a learned language with a share of ``low`` or more of its words.
 
-    Words that fit no learned language count for none.  No row is kept if nothing was learned.
+    ``ERRORS`` standard errors are added to the share.  Words that fit no learned language count for none.  No row is kept if
+    nothing was learned.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     return bounded_batches(docs).mapInArrow(_accept(broadcast, text_col, low), docs.schema)

@@ -172,6 +172,17 @@ def test_unlearned_languages_are_rejected(spark):
         assert left_out is None or kept.get(left_out, 0) <= 0.1 * total[left_out], (left_out, kept, total)
 
 
+def test_short_texts_need_clear_evidence_to_be_rejected(spark):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = language_id.train(train)
+    frequent = train.where("lang = 'fr'").select(F.explode(F.split(F.lower("text"), "[^a-zéèêàç]+")).alias("w")).where("length(w) > 2").groupBy("w").count().orderBy(F.desc("count"), "w").limit(5)
+    words = [r["w"] for r in frequent.collect()]
+    short, foreign = " ".join(words), "xqzv wkjq zzxw qvkx jxqz wqkz vzxj kqxw zqjv xwvk"
+    rows = [(1, f"{short} {foreign}"), (2, foreign), (3, f"{short} {foreign * 40}"), (4, short)]
+    kept = language_id.filter_language(spark.createDataFrame(rows, "doc_id bigint, text string"), model, low=0.4).collect()
+    assert {r["doc_id"] for r in kept} == {1, 4}
+
+
 def test_foreign_level_needs_two_languages():
     counts = np.zeros((language_id.BUCKETS, 2))
     counts[:50, 0], counts[50:90, 1] = 7, 9
