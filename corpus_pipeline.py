@@ -27,6 +27,7 @@ LEAST_SHARE = 1 / 3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, or in which no learned language has a third of the words, go; all others stay unchanged.
 
+    A share must miss the third by two standard errors, so short texts stay unless they clearly fit no learned language.
     Words that fit no learned language count for none, so texts in other languages and of random letters go too; with a
     single learned language nothing tells which words those are, and only texts without letters go.
     """
