@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,9 +37,15 @@ def query(sql: str | None = None, dates: tuple[str, ...] = (), into: tuple[dict,
     return add
 
 
+def as_sql_rounds(x: Column, digits: int = 6) -> Column:
+    """DuckDB's round of a double: the scaled number is rounded half away from zero, while Spark rounds the decimal digits."""
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded as the SQL side rounds them, without negative zeros."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[(as_sql_rounds(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 # ---- shared SQL

@@ -38,6 +38,13 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_doubles_are_rounded_as_the_sql_rounds_them(spark):
+    values = [0.7200124999999999, 0.3600124999999999, 0.12345650000000001, -0.7200124999999999, -4e-7, 2.5e-6, 1e305, 27021597764222979.0, float("inf"), float("nan"), None]
+    ours = [r["x"] for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    theirs = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0", [v]).fetchone()[0] for v in values]
+    assert [str(x) for x in ours] == [str(x) for x in theirs]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
