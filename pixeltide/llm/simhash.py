@@ -23,10 +23,11 @@ pair is a candidate if some word differs in at most ``radius`` bits and all word
 ``radius_for`` gives the least radius at which ``RECALL`` of the pairs of just that similarity are candidates, ``reach_for``
 a reach that ``REACHED`` of them keep; unrelated texts, for which one word may be near by chance, differ in the others.
 Nodes are then distinct texts.  A candidate that several words or masks show is taken from the first of them.  A bucket
-with more than ``DENSE`` new pairs per member, as a large group of near copies makes it, sends its members as a crowd:
-their shingles meet in one task, which tries the nearest and the member of most neighbours first and then every pair not
-yet connected, and sends a spanning forest of the links verified.  Crowds of more than ``CROWD_BYTES`` of shingles meet
-block by block.  Members of an oversized bucket are dealt out again by the bits the bucket left open.  So texts whose
+with more than ``DENSE`` new pairs per member, as a large group of near copies makes it, sends the members that candidates
+connect as a crowd instead.  What pairs and crowds connect is a group: the shingles of its texts meet in one task, each
+text's once, which tries the nearest and the member of most neighbours first and then every pair not yet connected, and
+sends a spanning forest of the links verified.  Of groups of more than ``CROWD_BYTES`` of shingles every pair is verified
+by itself, and crowds meet block by block.  Members of an oversized bucket are dealt out again by the bits the bucket left open.  So texts whose
 fingerprints are candidates and that share enough shingles are always connected.
 
 Defined cases: a very long text is cut into words a piece at a time, whole; null text counts as empty; no words give fingerprint 0, linked like any other; a null id never is a
@@ -51,6 +52,8 @@ from pixeltide.llm.components import components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 RUN = 16_384
+#: The same for fingerprints that find candidates, whose masks are coarser.
+WIDE_RUN = 1 << 16
 DENSE = 8
 #: Words of a fingerprint that finds candidates; the shares of pairs of the least similarity that radius and reach keep.
 WORDS, RECALL, REACHED = 2, 0.92, 0.995
@@ -128,14 +131,18 @@ def word_names(words: int) -> list[str]:
 
 
 def _fingerprints(shingle: int, words: int, distinct: bool):
-    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), *((n, pa.int64()) for n in word_names(words))])
+    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), *((n, pa.int64()) for n in word_names(words)), *[("shingles", pa.int64())] * distinct])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = ((t or "").encode() for t in part.column("text").to_pylist())
-                made = [wide_fingerprint(t, shingle, words) if distinct else _bits_of(shingle_hashes(t, shingle), words) for t in texts]
-                fps = np.array(made, np.uint64).reshape(-1, words).view(np.int64)
+                if distinct:
+                    sets = (distinct_shingles(t, shingle) for t in texts)
+                    made = [[*_bits_of(iter([x]), words), len(x)] for x in sets]
+                else:
+                    made = [_bits_of(shingle_hashes(t, shingle), words) for t in texts]
+                fps = np.array(made, np.uint64).reshape(-1, words + distinct).view(np.int64)
                 yield batch_of(schema, part.column("id"), part.column("content"), *fps.T)
 
     return run
@@ -143,10 +150,10 @@ def _fingerprints(shingle: int, words: int, distinct: bool):
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> DataFrame:
     """id, content (a hash of the text that tells rows of one id apart) and fp, the 64 bits as a signed number; more words
-    are fp1 and so on.  ``distinct``: repeats of a shingle count once."""
+    are fp1 and so on.  ``distinct``: repeats of a shingle count once, and their number is returned as ``shingles``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, words, distinct), "id bigint, content bigint, " + ", ".join(f"{n} bigint" for n in word_names(words)))
+    return rows.mapInArrow(_fingerprints(shingle, words, distinct), "id bigint, content bigint, " + ", ".join(f"{n} bigint" for n in word_names(words) + ["shingles"] * distinct))
 
 
 # ---- layout
@@ -217,11 +224,13 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
 
 
 def layout(distinct: DataFrame, total: int, radius: int = RADIUS) -> list[int]:
-    """The masks to search under, from statistics of all fingerprints.  A wide radius needs more partitions."""
+    """The masks to search under, from statistics of all fingerprints.  A wide radius needs more partitions; with one more than
+    it has bits each is searched by a single mask, the fewest rows that any layout sends."""
     both = bit_statistics(distinct)
     p = both.diagonal() / max(total, 1)
     agree = p**2 + (1 - p) ** 2
-    layouts = [grouped_bits(both, total, m) for m in range(max(1, radius // 2), max(4, radius * 4 // 5) + 1)]
+    counts = {*range(max(1, radius // 2), max(4, radius * 4 // 5) + 1), min(radius + 1, BITS // 5)}
+    layouts = [grouped_bits(both, total, m) for m in sorted(counts)]
     exact = iter(collisions(distinct, [mask_of(g) for parts in layouts for g in parts]))
     options = []
     for parts in layouts:
@@ -270,6 +279,23 @@ def _within(differ: np.ndarray, radius: int, reach: int) -> np.ndarray:
     return (counts.min(-1) <= radius) & (counts.sum(-1) <= reach)
 
 
+def islands(fps: np.ndarray, radius: int, reach: int) -> Iterator[np.ndarray]:
+    """Places of members that candidates connect, two or more, by breadth-first search."""
+    rest = np.arange(len(fps))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        found = [front]
+        while len(front) and len(rest):
+            near = np.zeros(len(rest), bool)
+            step = max(1, (1 << 20) // len(rest))
+            for i in range(0, len(front), step):
+                near |= _within(fps[front[i : i + step], None] ^ fps[None, rest], radius, reach).any(0)
+            front, rest = rest[near], rest[~near]
+            found.append(front)
+        if sum(map(len, found)) > 1:
+            yield np.concatenate(found)
+
+
 def _first_tries(fps: np.ndarray, radius: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of two pairs for each member of a crowd, the likeliest to hold: its nearest, and the member of most neighbours."""
     n = len(fps)
@@ -335,7 +361,7 @@ SMALL = 24
 
 def _pairs(probe: Probe, names: list[str], run: int, dense: float, number: int):
     """Streams rows sorted by (mask, key): candidate pairs (a, b) of nodes; an oversized run's members as (mask, node); a
-    run of more than ``dense`` pairs a member as (crowd, node).
+    run of more than ``dense`` pairs a member as (crowd, node), one crowd for those that candidates connect.
 
     A pair that agrees under several masks comes from the first of them only, whose run holds it in one of these ways.
     """
@@ -351,8 +377,9 @@ def _pairs(probe: Probe, names: list[str], run: int, dense: float, number: int):
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             found = probe.pairs(fps[s : s + n], int(keys[s, 0]), dense * n)
             if found is None:
-                crowd = np.array([xxhash.xxh64_intdigest(keys[s].tobytes(), number)], np.uint64).view(np.int64)
-                yield batch_of(schema, np.repeat(crowd, n), nodes[s : s + n], np.full(n, CROWD, np.int32))
+                for i, at in enumerate(islands(fps[s : s + n], probe.radius, probe.reach)):
+                    crowd = np.array([xxhash.xxh64_intdigest(keys[s].tobytes() + i.to_bytes(4), number)], np.uint64).view(np.int64)
+                    yield batch_of(schema, np.repeat(crowd, len(at)), nodes[s + at], np.full(len(at), CROWD, np.int32))
             else:
                 a.append(found[0] + s)
                 b.append(found[1] + s)
@@ -403,7 +430,10 @@ def candidates(nodes: DataFrame, radius: int, reach: int | None = None, words: i
     def search(rows: DataFrame, word: int, masks: list[int], run: int, number: int) -> DataFrame:
         keys = F.posexplode(F.array(*[F.col(names[word]).bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key")
         probes = rows.select(keys, "node", *names).repartition("mask", "key").sortWithinPartitions("mask", "key", *names, "node")
-        return written(probes.mapInArrow(_pairs(Probe(radius, reach, masks, word), names, run, dense, number), "a bigint, b bigint, kind int"), "pairs")
+        found = written(probes.mapInArrow(_pairs(Probe(radius, reach, masks, word), names, run, dense, number), "a bigint, b bigint, kind int"), "pairs")
+        del probes
+        free_shuffles(spark)
+        return found
 
     out, number = None, 0
     for word, name in enumerate(names):
@@ -456,14 +486,14 @@ def reach_for(similarity: float, words: int = WORDS, share: float = REACHED) ->
     return next(k for k, c in enumerate(_upto(BITS * words, similarity)) if c >= share or k == BITS * words)
 
 
-def _shingle_sets(shingle: int):
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+def _shingle_sets(shingle: int, more: tuple[str, ...] = ()):
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary()), *((c, pa.int64()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 made = [distinct_shingles((t or "").encode(), shingle).tobytes() for t in part.column("text").to_pylist()]
-                yield batch_of(schema, part.column("node"), made)
+                yield batch_of(schema, part.column("node"), made, *(part.column(c) for c in more))
 
     return run
 
@@ -520,7 +550,7 @@ def verified_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, reach:
 
 
 def _crowd_links(names: list[str], radius: int, reach: int, least: float):
-    """Streams rows sorted by (crowd, low, high), one run for each two blocks of a crowd."""
+    """Streams rows sorted by (crowd, low, high, words, node), one run for each two blocks of a crowd; rows of one node count once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links_of(rows: list) -> pa.RecordBatch:
@@ -538,7 +568,8 @@ def _crowd_links(names: list[str], radius: int, reach: int, least: float):
                     if held:
                         yield links_of(held)
                     held, at = [], key
-                held.append(row[3:])
+                if not held or held[-1][0] != row[3]:
+                    held.append(row[3:])
         if held:
             yield links_of(held)
 
@@ -559,21 +590,49 @@ def crowd_links(crowds: DataFrame, nodes: DataFrame, sets: DataFrame, radius: in
     return rows.mapInArrow(_crowd_links(names, radius, reach, least), "a bigint, b bigint")
 
 
-def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, radius: int, reach: int, words: int, least: float) -> DataFrame:
-    """The pairs, and links for those of the crowds, whose texts share at least ``least`` of their shingles; only texts that
-    stand in a pair or crowd are read on."""
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
+def _texts_of(some: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node and text of the documents whose node is in ``some``, with its other columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = written(some, "nodes")
     _, maybe = split_by(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), F.col("node"), key_filter(some, F.col("node")))
-    texts = maybe.join(some, "node", "left_semi")
-    made = texts.mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return maybe.join(some, "node")
+
+
+def whole_groups(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, words: int, most: int = CROWD_BYTES) -> DataFrame:
+    """(node, crowd, fp, ...) of the nodes that pairs and crowds connect to groups of at most ``most`` bytes of shingles."""
+    firsts = crowds.groupBy("crowd").agg(F.min("node").alias("b"))
+    roots = components(pairs.unionByName(crowds.join(firsts, "crowd").select(F.col("node").alias("a"), "b")))
+    sized = written(roots.join(nodes.select("node", *word_names(words), "shingles"), "node"), "groups")
+    fit = sized.groupBy("root").agg(F.sum(8 * F.col("shingles") + 64).alias("bytes")).where(F.col("bytes") <= most).select("root")
+    return written(sized.join(fit, "root").select("node", F.col("root").alias("crowd"), *word_names(words)), "members")
+
+
+def similar_pairs(pairs: DataFrame, crowds: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, radius: int, reach: int, words: int, least: float, most: int = CROWD_BYTES) -> DataFrame:
+    """Links (a, b) that connect what all pairs, and all candidates of a crowd, connect whose texts share at least ``least`` of
+    their shingles; only texts that stand in a pair or crowd are read on.
+
+    A group that pairs and crowds connect and that is small enough meets in one task, each text's shingles once.  Of larger
+    groups every pair is verified by itself and every crowd block by block.
+    """
+    names = word_names(words)
+    members = whole_groups(pairs, crowds, nodes, words, most)
+    rows = _texts_of(members, docs, text_col).mapInArrow(_shingle_sets(shingle, ("crowd", *names)), "node bigint, hashes binary, crowd bigint, " + ", ".join(f"{n} bigint" for n in names))
+    rows = rows.withColumns({"low": F.lit(0), "high": F.lit(0)}).repartition("crowd").sortWithinPartitions("crowd", "low", "high", *names, "node")
+    out = written(rows.mapInArrow(_crowd_links(names, radius, reach, least), "a bigint, b bigint"), "group_links")
+    done = members.select("node")
+    pairs = written(pairs.join(done.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b"), "large_pairs")
+    crowds = written(crowds.join(done, "node", "left_anti").select("crowd", "node"), "large_crowds")
+    del rows
+    free_shuffles(docs.sparkSession)
+    some = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct(), "nodes")
+    if some.isEmpty():
+        return out
+    made = _texts_of(some, docs, text_col).mapInArrow(_shingle_sets(shingle), "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     sets = written(made.withColumn("bytes", F.length("hashes").cast("bigint")), "sets")
     left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(h)) for n, h in (("a", "x"), ("b", "y")))
-    alone = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint")
+    out = out.unionByName(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a bigint, b bigint"))
     if crowds.isEmpty():
-        return alone
-    return alone.unionByName(crowd_links(crowds, nodes, sets, radius, reach, words, least))
+        return out
+    return out.unionByName(crowd_links(crowds, nodes, sets, radius, reach, words, least))
 
 
 def _verify(radius: int, run: int, linked: bool):
@@ -658,15 +717,16 @@ class NearDuplicates:
     Nodes are distinct fingerprints, or with ``similarity`` distinct texts.
     """
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int | None = None, shingle: int = SHINGLE, run: int = RUN, similarity: float | None = None, words: int = WORDS):
+    def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int | None = None, shingle: int = SHINGLE, run: int | None = None, similarity: float | None = None, words: int = WORDS):
         words = words if similarity else 1
+        run = run or (WIDE_RUN if similarity else RUN)
         radius = radius if radius is not None else radius_for(similarity, words) if similarity else RADIUS
         names = word_names(words)
         with scratch() as held:
             made = fingerprints(docs, text_col, id_col, shingle, words, bool(similarity)).withColumn("node", F.col("content" if similarity else "fp"))
             rows = written(made, "fingerprints")
             keeper = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("keeper")
-            distinct = written(rows.groupBy("node", *names).agg(keeper), "distinct")
+            distinct = written(rows.groupBy("node", *names, *["shingles"] * bool(similarity)).agg(keeper), "distinct")
             if similarity:
                 reach = reach_for(similarity, words)
                 pairs, crowds = candidates(distinct.select("node", *names), radius, reach, words, run)
