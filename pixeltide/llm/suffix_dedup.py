@@ -40,16 +40,17 @@ from pyspark.sql import functions as F
 from pixeltide.llm.common import batch_of, bounded_batches, free_shuffles, release, written
 
 LENGTH, GRAM = 50, 24
-SLICE = 1 << 20
-#: Positions looked at together.
-CHUNK = 1 << 20
+SLICE = 4 << 20
+#: Positions looked at together, few enough that their hashes stay in a core's cache.
+CHUNK = 1 << 16
 SHALLOW = 24
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
 #: Slices with one anchor beyond which its windows are dealt out one by one.
-HOT = 1024
+HOT = 256
 #: Contexts whose windows are sorted together; groups are never split.
 SORTED_CONTEXTS = 4096
 NO_DOC = 2**63 - 1
+LEAD = [bytes((i,)) for i in range(256)]
 MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -264,6 +265,8 @@ class Slice:
         self.at, h, self.first, self.last = anchors(self.data, self.ends, length, gram)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
         self.key_bits = 40
+        h = h * MULTIPLIERS[0]  # the least of many hashes is small: spread over all buckets
+        h = (h ^ (h >> np.uint64(32))) * MIX
         value = h >> np.uint64(64 - self.key_bits - buckets.bit_length() + 1)
         self.cells, self.cell = np.unique(value, return_inverse=True)
         self.bucket = (self.cells >> np.uint64(self.key_bits)).astype(np.int64)
@@ -297,32 +300,33 @@ class Slice:
         if hot.any():
             own = gram_hashes(self.data, self.length)[first[single]]
             bucket[single] = (own >> np.uint64(64 - self.buckets.bit_length() + 1)).astype(np.int64)
-        doc, raw, tail = self.doc[anchor], self.raw, self.length
-        found: dict[int, dict[bytes, list[int]]] = {}
+        doc, raw = self.doc[anchor], self.raw
+        found: dict[int, dict[bytes, int]] = {b: {} for b in np.unique(bucket).tolist()}
         number = []
-        for p, q, at, b, d in zip(first.tolist(), last.tolist(), self.at[anchor].tolist(), bucket.tolist(), self.order[doc].tolist(), strict=True):
-            own = found.get(b)
-            if own is None:
-                own = found[b] = {}
-            key = bytes((at - p,)) + raw[p : q + tail]
-            hit = own.get(key)
-            if hit is None:
-                own[key] = hit = [len(own), d]
-            elif d < hit[1]:
-                hit[1] = d
-            number.append(hit[0])
+        for p, end, off, b in zip(first.tolist(), (last + self.length).tolist(), (self.at[anchor] - first).tolist(), bucket.tolist(), strict=True):
+            own = found[b]
+            number.append(own.setdefault(LEAD[off] + raw[p:end], len(own)))
         return Contexts(first, doc, bucket, np.array(number, np.int64), found)
 
+    def least_of(self, c: "Contexts") -> dict[int, np.ndarray]:
+        """By bucket the least document of each distinct context."""
+        sizes = np.array([len(own) for own in c.found.values()], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        place = np.searchsorted(np.fromiter(c.found, np.int64, len(c.found)), c.bucket)
+        least = np.full(int(sizes.sum()), NO_DOC)
+        np.minimum.at(least, begin[place] + c.number, self.order[c.doc])
+        return {b: least[i : i + n] for b, i, n in zip(c.found, begin.tolist(), sizes.tolist(), strict=True)}
+
 
 class Contexts(NamedTuple):
-    """Per context its first window, document, bucket and number within the bucket; and by bucket each distinct context, led
-    by the anchor's offset in it, with [number, least document]."""
+    """Per context its first window, document, bucket and number within the bucket; and by bucket, in ascending order, each
+    distinct context, led by the anchor's offset in it, with its number."""
 
     first: np.ndarray
     doc: np.ndarray
     bucket: np.ndarray
     number: np.ndarray
-    found: dict[int, dict[bytes, list[int]]]
+    found: dict[int, dict[bytes, int]]
 
 
 def _send_cells(buckets: int, length: int, gram: int):
@@ -371,12 +375,12 @@ def _send_contexts(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _dicts(batch):
-                found = Slice(row, buckets, length, gram).contexts(row["marks"]).found
-                out = []
-                for bucket, own in found.items():
+                s = Slice(row, buckets, length, gram)
+                contexts = s.contexts(row["marks"])
+                least, out = s.least_of(contexts), []
+                for bucket, own in contexts.found.items():
                     sizes = np.fromiter(map(len, own), "<u2", len(own))
-                    docs = np.fromiter((v[1] for v in own.values()), "<i8", len(own))
-                    out.append((bucket, row["slice"], packed(sizes.tobytes()), packed(docs.tobytes()), packed(b"".join(own))))
+                    out.append((bucket, row["slice"], packed(sizes.tobytes()), packed(least[bucket].astype("<i8").tobytes()), packed(b"".join(own))))
                 if out:
                     yield batch_of(schema, *(list(c) for c in zip(*out, strict=True)))
 
@@ -398,22 +402,15 @@ def _portions(groups: list[list[int]], limit: int) -> Iterator[list[list[int]]]:
 def _least_documents(length: int, gram: int, shallow: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: the least document of every window of every context."""
-        met: dict[bytes, list[int]] = {}
-        numbers = []
-        for data, sizes, docs in zip(table.column("data"), table.column("sizes"), table.column("docs"), strict=True):
-            data, at, own = unpacked(data.as_py()), 0, []
-            for size, doc in zip(np.frombuffer(unpacked(sizes.as_py()), "<u2").tolist(), np.frombuffer(unpacked(docs.as_py()), "<i8").tolist(), strict=True):
-                key = data[at : at + size]
-                at += size
-                hit = met.get(key)
-                if hit is None:
-                    met[key] = hit = [len(met), doc]
-                elif doc < hit[1]:
-                    hit[1] = doc
-                own.append(hit[0])
-            numbers.append(np.array(own, np.int32))
+        met: dict[bytes, int] = {}
+        numbers, docs = [], []
+        for data, sizes, own in zip(table.column("data"), table.column("sizes"), table.column("docs"), strict=True):
+            data, ends = unpacked(data.as_py()), np.cumsum(np.frombuffer(unpacked(sizes.as_py()), "<u2"), dtype=np.int64).tolist()
+            numbers.append(np.array([met.setdefault(data[a:b], len(met)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int32))
+            docs.append(np.frombuffer(unpacked(own.as_py()), "<i8"))
         keys = list(met)
-        least = np.fromiter((v[1] for v in met.values()), np.int64, len(keys))
+        least = np.full(len(keys), NO_DOC)
+        np.minimum.at(least, np.concatenate(numbers), np.concatenate(docs))
         windows = np.fromiter(map(len, keys), np.int64, len(keys)) - length  # a key has one byte more than its text
         ends = np.cumsum(windows)
         begin = ends - windows
