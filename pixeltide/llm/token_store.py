@@ -224,7 +224,7 @@ def write_token_store(docs: DataFrame, path: str, model_path: str, end_id: int =
     counts = tokenised.where("counts IS NOT NULL").select("counts").mapInArrow(_histogram, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").toPandas()
     symbols = counts["token"].to_numpy(np.int64)
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
-    spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "token bigint, length bigint").coalesce(1).write.parquet(f"{path}/codebook")
+    spark.createDataFrame(pa.table({"token": pa.array(symbols, pa.int64()), "length": pa.array(lengths, pa.int64())})).coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast((symbols.tobytes(), lengths.tobytes()))
     dealt = tokens.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
     dealt.mapInArrow(_pack(book, block_tokens, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
@@ -232,11 +232,9 @@ def write_token_store(docs: DataFrame, path: str, model_path: str, end_id: int =
     release(tokenised)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per file
-    before, starts = 0, []
-    for r in totals:
-        starts.append((r["part"], before))
-        before += r["n"]
-    spark.createDataFrame(starts, "part int, start bigint").coalesce(1).write.parquet(f"{path}/parts")
+    sums = np.array([r["n"] for r in totals], np.int64)
+    starts = pa.table({"part": pa.array([r["part"] for r in totals], pa.int32()), "start": pa.array(np.cumsum(sums) - sums)})
+    spark.createDataFrame(starts).coalesce(1).write.parquet(f"{path}/parts")  # from Arrow: rows of Python would start workers of another kind
 
 
 def _read(book_bytes, starts, with_ids: bool):

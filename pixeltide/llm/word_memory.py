@@ -3,7 +3,8 @@
 The tokenizer's JSON is read by the driver and broadcast; files above ``MAX_MODEL_BYTES`` are refused.  If white space
 only separates - neither normalisation nor pre-tokenisation reaches across it, as ``drops_space`` reads from the
 tokenizer's own description - a text's ids are its words' ids in order, so that every distinct word goes through the
-library once.  Texts are split and their words numbered in Arrow.
+library once.  Texts are split and their words numbered and looked up in Arrow; simple letters with punctuation behind
+them are two pre-tokens, remembered apart.
 """
 
 from __future__ import annotations
@@ -19,12 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 MAX_MODEL_BYTES = 64 << 20
-#: Words kept by a Python worker; the memory is cleared beyond that, which changes nothing but speed.
+#: Words kept by a Python worker; beyond that the half used last stays, which changes nothing but speed.
 MEMORY = 600_000
+#: A look-up passes over all known words; parts of words of which there are fewer than one for so many known ones are encoded anew.
+FEW = 8
 #: Signs that, behind letters and before white space, are a pre-token of their own.
 PUNCTUATION = ".,!?;:*#$%&"
 #: Letters below U+0250 that normalisation leaves one letter each; none composes with its neighbours.
 SIMPLE = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha())
+SIMPLE_WORD = f"^[{''.join(sorted(SIMPLE))}]+$"
+#: Words with more signs behind them are encoded whole.
+MOST_SIGNS = 8
+IS_SIGN = np.isin(np.arange(256), np.frombuffer(PUNCTUATION.encode(), np.uint8))
 #: Marks that may compose with an ASCII letter: a text with one keeps its case until the library has composed it.
 MARKS = "[\u0300-\u036f]"
 #: Fixed value: the pre-tokens of a tokenizer whose words may be encoded one by one; none holds white space.
@@ -50,8 +57,72 @@ def tokenizer_of(model: str):
     return made
 
 
+def gathered(flat: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at these places, one after the other, and the length of each; ``flat`` holds all runs in order.
+
+    Arrow copies run by run, which needs no index of every element.
+    """
+    if not len(at):
+        return flat[:0], length[:0]
+    offsets = np.concatenate([[0], np.cumsum(length)]) * flat.itemsize
+    runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    lengths, data = length[at], runs.take(pa.array(at)).buffers()[2]
+    return np.frombuffer(data, flat.dtype, int(lengths.sum())) if data else flat[:0], lengths
+
+
+class Words:
+    """Distinct words in Arrow, their ids in one flat table, and the round in which each was asked for last."""
+
+    def __init__(self, width: str):
+        self.known, self.length, self.flat, self.used, self.round = pa.array([""]), np.zeros(1, np.int64), np.zeros(0, width), np.zeros(1, np.int64), 0
+
+    def places(self, words: pa.Array, learn) -> np.ndarray:
+        """Place of every word; ``learn`` gives ids and lengths of those that are new."""
+        both = pa.chunked_array([self.known, words]).dictionary_encode().chunk(1)  # one dictionary: the known words, then the new ones
+        if len(new := both.dictionary.slice(len(self.known))):
+            ids, lengths = learn(new.to_pylist())
+            self.known = both.dictionary
+            self.flat, self.length = np.concatenate([self.flat, ids.astype(self.flat.dtype)]), np.concatenate([self.length, lengths])
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        place = both.indices.to_numpy()
+        self.round += 1
+        self.used[place] = self.round
+        return place
+
+    def forget(self, most: int) -> None:
+        """Keep the empty word and at most ``most`` others, those used last."""
+        stays = np.append(0, 1 + np.sort(np.argsort(-self.used[1:], kind="stable")[:most]))
+        self.flat, self.length = gathered(self.flat, self.length, stays)
+        self.known, self.used = self.known.take(pa.array(stays)), self.used[stays]
+
+
+def in_parts(words: pa.Array) -> pa.Array:
+    """Every word in two parts over the same bytes: simple letters and the punctuation behind them (two pre-tokens), or all of
+    the word and nothing."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    begin, end = offsets[:-1], offsets[1:]
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    core, live = end.copy(), np.flatnonzero(end > begin)
+    for _ in range(MOST_SIGNS):
+        live = live[IS_SIGN[raw[core[live] - 1]]]
+        core[live] -= 1
+        live = live[core[live] > begin[live]]
+        if not len(live):
+            break
+
+    def parted() -> pa.Array:
+        ends = np.column_stack([core, end]).ravel()
+        return pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(np.append(offsets[:1], ends).astype(np.int32)), data)
+
+    ended = np.flatnonzero(core < end)
+    odd = ended[~pc.match_substring_regex(parted().take(pa.array(2 * ended)), SIMPLE_WORD).to_numpy(zero_copy_only=False)]
+    core[odd] = end[odd]
+    return parted()
+
+
 class WordMemory:
-    """Words between ASCII white space, each encoded by the library once, with their ids in one flat table."""
+    """Words between ASCII white space, each encoded by the library once."""
 
     def __init__(self, tokenizer, end_id: int, width: str):
         self.tokenizer, self.width = tokenizer, width
@@ -59,41 +130,16 @@ class WordMemory:
         self.closes = np.zeros(1 + max(vocabulary.values(), default=0), bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end_id = end_id
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.start, self.length = np.zeros(2, np.int64), np.array([0, 1])  # place 0: no ids, place 1: the end id
-        self.flat = np.array([self.end_id], self.width)
-
-    def _add(self, names: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
-        self.known |= zip(names, range(len(self.length), len(self.length) + len(names)), strict=True)
-        length = np.concatenate([self.length, *lengths]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, *ids]).astype(self.width)
-        self.start, self.length = np.cumsum(length) - length, length
-
-    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words at these places, one after the other, and how many each has."""
-        lengths = self.length[word]
-        shift = np.repeat(self.start[word] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[shift + np.arange(len(shift))], lengths
-
-    def learn(self, words: list[str], at_once: int = 200) -> None:
-        """Letters, then words of simple letters with punctuation behind them (two pre-tokens), then all others."""
-        plain, ended, odd = [], [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif (core := w.rstrip(PUNCTUATION)) and SIMPLE.issuperset(core):
-                ended.append((w, core, w[len(core) :]))
-            else:
-                odd.append(w)
-        known = self.known
-        plain += {core for _, core, _ in ended}.difference(known, plain)
-        odd += {tail for _, _, tail in ended}.difference(known, odd)
+        self.words = Words(width)
+
+    def learn(self, words: list[str], at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has: letters first, then all others."""
+        plain, odd = [], []
+        for i, w in enumerate(words):
+            (plain if w.isalpha() else odd).append(i)
         chunks = [plain[i : i + at_once] for i in range(0, len(plain), at_once)]
-        ids, lengths, names = [], [], []
-        for some, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        ids, lengths, order = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for some, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in c]) for c in chunks], add_special_tokens=False), strict=True):
             got = np.array(e.ids, np.int64)
             ends = np.flatnonzero(self.closes[np.minimum(got, len(self.closes) - 1)]) + 1
             if len(ends) != len(some):  # some word is more than one pre-token
@@ -101,47 +147,47 @@ class WordMemory:
                 continue
             ids.append(got)
             lengths.append(np.diff(ends, prepend=0))
-            names += some
+            order += some
         for i in range(0, len(odd), at_once):
             some = odd[i : i + at_once]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            e = self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False)
             at = np.fromiter((s for s, _ in e.offsets), np.int64, len(e.ids))
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])[:-1]
+            starts = np.cumsum([0] + [len(words[i]) + 1 for i in some])[:-1]
             ids.append(np.array(e.ids, np.int64))
             lengths.append(np.diff(np.append(np.searchsorted(at, starts), len(at))))
-            names += some
-        self._add(names, ids, lengths)
-        if ended:
-            pairs = np.array([(self.known[core], self.known[tail]) for _, core, tail in ended], np.int64)
-            made, parts = self._gather(pairs.ravel())
-            self._add([w for w, _, _ in ended], [made], [parts.reshape(-1, 2).sum(1)])
-
-    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Place of every word of the texts, and behind which word each text ends."""
-        if len(self.known) > MEMORY:
-            self.clear()
+            order += some
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return gathered(np.concatenate(ids), np.concatenate(lengths), place)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of the distinct words, which of them each word of the texts is, and behind which word each text ends."""
         texts = pc.fill_null(texts, "")
         cased = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, MARKS))  # special strings keep their case
         low = pc.if_else(cased, texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(low)
         words = split.flatten().dictionary_encode()
-        unique = words.dictionary.to_pylist()
-        self.learn([w for w in unique if w not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
-        word = place[words.indices.to_numpy()] if len(unique) else np.zeros(0, np.int64)
-        return word, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        if not len(words):
+            return np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64), ends
+        parts = in_parts(words.dictionary.cast(pa.string()))
+        if len(self.words.known) > MEMORY:
+            self.words.forget(MEMORY // 2)
+        held = self.words if len(parts) * FEW > len(self.words.known) else Words(self.width)
+        place = held.places(parts, self.learn)  # before the table, which it may lengthen
+        ids, lengths = gathered(held.flat, held.length, place)
+        return ids, lengths.reshape(-1, 2).sum(1), words.indices.to_numpy(), ends
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text, without the end id."""
-        word, ends = self._places(texts)
-        upto = np.concatenate([[0], np.cumsum(self.length[word])])
+        _, lengths, word, ends = self._split(texts)
+        upto = np.concatenate([[0], np.cumsum(lengths[word])])
         return np.diff(upto[ends], prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and the number of ids of each."""
-        word, ends = self._places(texts)
-        word = np.insert(word, ends, 1)
-        ids, lengths = self._gather(word)
+        ids, lengths, word, ends = self._split(texts)
+        ids, lengths = gathered(np.append(ids, np.array([self.end_id], self.width)), np.append(lengths, 1), np.insert(word, ends, len(lengths)))
         upto = np.cumsum(lengths)
         return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
